@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import load
+from .bitmaps import frequencies, marked
+from .relevance import relevance
 from .topn import top_n
 
 QUERIES, ORACLES = {}, {}
@@ -29,3 +31,67 @@ WITH clean AS (
 SELECT doc_id, term FROM clean
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, encode(term)) <= 3
 """
+
+
+def _clean_term(c):
+    return F.lower(F.trim(c))
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "df_tbl").filter("df >= 1").filter(F.length(F.translate("term", " \t\r\n", "")) > 0)
+    return marked(frequencies(rows, "batch_id", "term", "df", _clean_term), 2, 1 / 200).withColumnRenamed("value", "term")
+
+
+@query
+def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "df_tbl").filter("df >= 1").filter(F.length(F.translate("term", " \t\r\n", "")) > 0)
+    return frequencies(rows, "batch_id", "term", "df", _clean_term).select(F.col("value").alias("term"), F.col("occurrences").alias("df"), F.col("entries").alias("entries"))
+
+
+_P5 = """
+WITH clean AS (
+  SELECT DISTINCT batch_id, term, df FROM df_tbl
+  WHERE df >= 1 AND trim(term, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+total AS (SELECT lower(trim(term)) AS term, sum(df)::BIGINT AS df, count(*) AS entries FROM clean GROUP BY 1)
+"""
+ORACLES["p5_terms"] = _P5 + "SELECT term, df, entries FROM total"
+ORACLES["p5_found"] = (
+    _P5
+    + """
+SELECT term, 'rare' AS mark FROM total WHERE df <= 2
+UNION ALL
+SELECT term, 'common' AS mark FROM total WHERE df * 200 > (SELECT sum(df) FROM total)
+"""
+)
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The plain share of a term is the relevance weight without saturation (k1 unbounded), at full length normalisation (b = 1)."""
+    rows = relevance(load(spark, sf, "test_data"), "doc_id", "txt", k1=None, b=1.0, idf="log10", average_length=1.0, min_df=2, min_score=0.31)
+    return rows.select("doc_id", "term")
+
+
+@query
+def p4_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    rows = relevance(load(spark, sf, "test_data"), "doc_id", "txt")
+    return rows.select("doc_id", "term", "tf", "df", F.round("score", 6).alias("score"))
+
+
+_P4 = """
+WITH once AS (SELECT doc_id, max(txt) AS txt FROM test_data WHERE doc_id IS NOT NULL GROUP BY doc_id),
+terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(txt), '[0-9a-z]+')) AS term FROM once),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+n AS (SELECT count(*) AS n, (SELECT sum(len) FROM len) / count(*) AS average FROM once)
+"""
+ORACLES["p4_found"] = _P4 + "SELECT doc_id, term FROM tf JOIN len USING (doc_id) JOIN df USING (term), n WHERE df >= 2 AND tf / len * log10(n / df) >= 0.31"
+ORACLES["p4_relevance"] = (
+    _P4
+    + """
+SELECT doc_id, term, tf::INT AS tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average)), 6) AS score
+FROM tf JOIN len USING (doc_id) JOIN df USING (term), n
+"""
+)
