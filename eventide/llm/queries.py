@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources import load
 from .bitmaps import frequencies, marked
+from .density import linked_groups, vectors
 from .relevance import relevance
+from .sets import expanded, similar_sets
 from .topn import top_n
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +97,21 @@ SELECT doc_id, term, tf::INT AS tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)
 FROM tf JOIN len USING (doc_id) JOIN df USING (term), n
 """
 )
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    tables = [(load(spark, sf, name), "did", "terms") for name in ("docs", "cte_docs_arr")]
+    pairs = expanded(*similar_sets(tables, 0.6))
+    return pairs.select(F.col("a").cast("int").alias("did_a"), F.col("b").cast("int").alias("did_b"))
+
+
+def _cluster_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "centroid_tbl").join(load(spark, sf, "output_tbl").select("cid"), "cid", "left_semi")
+    return vectors(rows, "cid", "term", "weight")
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    groups = linked_groups(_cluster_vectors(spark, sf), 0.7)
+    return groups.filter("id <> lead").select(F.col("lead").cast("int").alias("lead"), F.col("id").cast("int").alias("cid"))
