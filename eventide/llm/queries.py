@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources import load
 from .bitmaps import frequencies, marked
 from .density import linked_groups, vectors
+from .leaks import leaks
+from .quality import not_prose, quality
 from .relevance import relevance
 from .sets import expanded, similar_sets
 from .topn import top_n
@@ -115,3 +117,75 @@ def _cluster_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     groups = linked_groups(_cluster_vectors(spark, sf), 0.7)
     return groups.filter("id <> lead").select(F.col("lead").cast("int").alias("lead"), F.col("id").cast("int").alias("cid"))
+
+
+def _item_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items"), "item_id", "text", least=13)
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _item_leaks(spark, sf).select("doc_id", "item_id")
+
+
+@query
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return _item_leaks(spark, sf)
+
+
+@query
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of the documents that remain once affected ones are removed."""
+    return load(spark, sf, "documents").select("doc_id").join(_item_leaks(spark, sf).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "common_words"), "word")
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return not_prose(_quality(spark, sf)).select("doc_id")
+
+
+@query
+def p9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    ratios = ("mean_word_length", "symbol_ratio", "punctuated_share", "common_share")
+    return _quality(spark, sf).select("doc_id", "words", *(F.round(c, 6).alias(c) for c in ratios))
+
+
+_P9 = """
+WITH white AS (SELECT ' ' || chr(9) || chr(10) || chr(13) AS w),
+listed AS (SELECT DISTINCT word FROM common_words WHERE word <> ''),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, count(*) AS words, avg(length(word)) AS mean_word_length,
+         avg((regexp_replace(lower(word), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g') IN (SELECT word FROM listed))::INT) AS common_share
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS word FROM d) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, avg((right(line, 1) IN ('.', '!', '?', '…'))::INT) AS punctuated_share
+  FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), (SELECT w FROM white)) AS line FROM d) WHERE line <> '' GROUP BY doc_id),
+s AS (
+  SELECT doc_id, (solid - length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))) / nullif(solid, 0) AS symbol_ratio
+  FROM (SELECT *, length(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS solid FROM d)),
+q AS (SELECT d.doc_id, coalesce(words, 0)::BIGINT AS words, mean_word_length, CASE WHEN words > 0 THEN symbol_ratio END AS symbol_ratio, punctuated_share, common_share
+  FROM d LEFT JOIN w USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id))
+"""
+ORACLES["p9_quality"] = _P9 + "SELECT doc_id, words, round(mean_word_length, 6) AS mean_word_length, round(symbol_ratio, 6) AS symbol_ratio, round(punctuated_share, 6) AS punctuated_share, round(common_share, 6) AS common_share FROM q"
+ORACLES["p9_found"] = (
+    _P9
+    + """
+SELECT doc_id FROM q
+WHERE words > 0 AND (mean_word_length < 3.5 OR mean_word_length > 8.5)::INT + (symbol_ratio > 0.15)::INT + (punctuated_share < 0.5)::INT + (common_share < 0.15)::INT >= 2
+"""
+)
+
+_P8 = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items WHERE item_id IS NOT NULL),
+a AS (SELECT doc_id, array_to_string(ws[k : k + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w)),
+b AS (SELECT item_id, array_to_string(ws[k : k + 12], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM v)),
+f AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s))
+"""
+ORACLES["p8_found"] = _P8 + "SELECT doc_id, item_id FROM f"
+ORACLES["p8_kept"] = _P8 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)"
