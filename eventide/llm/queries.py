@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import load
 from .bitmaps import frequencies, marked
 from .density import linked_groups, vectors
+from .encode import encode
 from .leaks import leaks
 from .quality import not_prose, quality
 from .relevance import relevance
@@ -189,3 +190,8 @@ f AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s))
 """
 ORACLES["p8_found"] = _P8 + "SELECT doc_id, item_id FROM f"
 ORACLES["p8_kept"] = _P8 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)"
+
+
+@query
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode(load(spark, sf, "documents"), "doc_id", "text", vocabulary="byte_bpe_50k")
