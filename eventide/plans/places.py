@@ -35,4 +35,23 @@ def p1_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_regions": p1_regions}
-ORACLES: dict[str, str] = {}
+_PLACES = """
+WITH once AS (SELECT DISTINCT id, x, y, geom, cell_length AS r FROM spatial_partition_eval_results WHERE isfinite(cell_length) AND cell_length > 0),
+m AS (SELECT *, isfinite(x) AND isfinite(y) AND abs(x) <= 20037508.35 AND abs(y) <= 20037508.35 AS inside,
+        regexp_extract(lower(geom), '^\\s*(?:srid\\s*=\\s*(\\d+)\\s*;)?\\s*point\\s*z?\\s*\\(\\s*([-+.0-9e]+)\\s+([-+.0-9e]+)', ['srid', 'a', 'b']) AS g FROM once),
+d AS (SELECT id, x, y, r, inside, g.srid AS srid, try_cast(g.a AS DOUBLE) AS a, try_cast(g.b AS DOUBLE) AS b FROM m),
+p AS (SELECT id, r,
+        CASE WHEN inside THEN x WHEN srid = '4326' THEN 6378137 * radians(a) ELSE a END AS x,
+        CASE WHEN inside THEN y WHEN srid = '4326' THEN 6378137 * ln(tan(pi() / 4 + radians(b) / 2)) ELSE b END AS y FROM d),
+l AS (SELECT * FROM p WHERE isfinite(x) AND isfinite(y))
+"""
+#: Pairs are looked for in a grid of 250 m, the greatest cell length of the data.
+ORACLES: dict[str, str] = {
+    "p1_found": _PLACES
+    + """,
+c AS (SELECT *, floor(x / 250)::BIGINT AS cx, floor(y / 250)::BIGINT AS cy FROM l),
+n AS (SELECT id, x, y, r, cx + dx AS cx, cy + dy AS cy FROM c, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy))
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM c a JOIN n b USING (cx, cy)
+WHERE a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= least(a.r, b.r) ** 2
+"""
+}
