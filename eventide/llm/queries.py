@@ -195,3 +195,20 @@ ORACLES["p8_kept"] = _P8 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SE
 @query
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(load(spark, sf, "documents"), "doc_id", "text", vocabulary="byte_bpe_50k")
+
+_P2 = """
+WITH r AS (SELECT did, terms FROM docs UNION ALL SELECT did, terms FROM cte_docs_arr),
+t AS (SELECT DISTINCT did, lower(trim(term)) AS term FROM (SELECT did, unnest(terms) AS term FROM r) WHERE trim(term) <> ''),
+n AS (SELECT did, count(*) AS n FROM t GROUP BY did),
+o AS (SELECT a.did AS did_a, b.did AS did_b, count(*) AS o FROM t a JOIN t b ON a.term = b.term AND a.did < b.did GROUP BY ALL)
+"""
+ORACLES["p2_found"] = _P2 + "SELECT did_a, did_b FROM o JOIN n a ON a.did = did_a JOIN n b ON b.did = did_b WHERE o * 10 >= 6 * (a.n + b.n - o)"
+ORACLES["p3_found"] = """
+WITH RECURSIVE c AS (
+  SELECT DISTINCT cid, lower(trim(term)) AS term, weight AS w FROM centroid_tbl
+  WHERE isfinite(weight) AND weight > 0 AND trim(term) <> '' AND cid IN (SELECT cid FROM output_tbl)),
+v AS (SELECT cid, term, w / sqrt(sum(w * w) OVER (PARTITION BY cid)) AS w FROM (SELECT cid, term, sum(w) AS w FROM c GROUP BY ALL)),
+e AS (SELECT a.cid AS a, b.cid AS b FROM v a JOIN v b ON a.term = b.term AND a.cid <> b.cid GROUP BY ALL HAVING sum(a.w * b.w) >= 0.7),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT min(b) AS lead, a AS cid FROM reach GROUP BY a HAVING min(b) < a
+"""
