@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import load
 from .bitmaps import frequencies, marked
+from .condense import clusters, described
 from .density import linked_groups, vectors
 from .encode import encode
 from .leaks import leaks
@@ -212,3 +213,14 @@ e AS (SELECT a.cid AS a, b.cid AS b FROM v a JOIN v b ON a.term = b.term AND a.c
 reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
 SELECT min(b) AS lead, a AS cid FROM reach GROUP BY a HAVING min(b) < a
 """
+
+
+@query
+def p3_members(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters(_cluster_vectors(spark, sf), 0.7).withColumn("persistence", F.round("persistence", 6))
+
+
+@query
+def p3_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    got = described(clusters(_cluster_vectors(spark, sf), 0.7), load(spark, sf, "output_tbl"), "cid", "doc_count")
+    return got.withColumn("exemplars", F.array_join("exemplars", " "))
