@@ -31,30 +31,37 @@ def entropy(df: DataFrame, keys: list[str], col: str, config: str = "simple", ma
     Null and empty texts add nothing but keep their group; without keys an empty input gives one row with 0.
     ``max_occurrences`` caps what a term counts within one row. Counts are partial before they move, so a hot group is no hot task.
     """
-    n = df.select(*keys, F.explode_outer(_counted(df, col, config, max_occurrences)).alias("t")).select(*keys, "t.lexeme", "t.n")
-    pooled = n.groupBy(*keys, "lexeme").agg(F.sum("n").cast("double").alias("n"))
-    n = F.col("n")
+    rows = df.select(*keys, F.explode_outer(_counted(df, col, config, max_occurrences)).alias("__t")).select(*keys, F.col("__t.lexeme").alias("__lexeme"), F.col("__t.n").alias("__n"))
+    pooled = rows.groupBy(*keys, "__lexeme").agg(F.sum("__n").cast("double").alias("__n"))
+    n = F.col("__n")
     # H = log2 T - sum(n log2 n) / T needs no second look at the total
-    sums = pooled.groupBy(*keys).agg(F.sum("n").alias("t"), F.sum(n * F.log2(n)).alias("s"), F.count("n").alias("k"))
-    h = F.when(F.col("k") <= 1, F.lit(0.0)).otherwise(F.greatest(F.log2("t") - F.col("s") / F.col("t"), F.lit(0.0)))
+    sums = pooled.groupBy(*keys).agg(F.sum(n).alias("__total"), F.sum(n * F.log2(n)).alias("__s"), F.count(n).alias("__k"))
+    h = F.when(F.col("__k") <= 1, F.lit(0.0)).otherwise(F.greatest(F.log2("__total") - F.col("__s") / F.col("__total"), F.lit(0.0)))
     return sums.select(*keys, F.coalesce(h, F.lit(0.0)).alias(name))
 
 
 def shared_terms(df: DataFrame, keys: list[str], col: str, minimum: int | None, config: str = "simple", name: str = "shared_terms") -> DataFrame:
     """``(keys, shared_terms)``: how many terms are in at least ``minimum`` rows of the group (0 for a null minimum or a group without terms)."""
     words = F.array_distinct(F.transform(_counted(df, col, config, None), lambda s: s["lexeme"]))
-    rows = df.select(*keys, F.explode_outer(words).alias("term")).groupBy(*keys, "term").agg(F.count("term").alias("n"))
-    enough = F.lit(False) if minimum is None else (F.col("n") >= minimum) & F.col("term").isNotNull()
+    rows = df.select(*keys, F.explode_outer(words).alias("__term")).groupBy(*keys, "__term").agg(F.count("__term").alias("__n"))
+    enough = F.lit(False) if minimum is None else (F.col("__n") >= minimum) & F.col("__term").isNotNull()
     return rows.groupBy(*keys).agg(F.count_if(enough).cast("int").alias(name))
 
 
 def group_metrics(df: DataFrame, keys: list[str], col: str, minimum: int = 2, users: str | None = None, config: str = "simple") -> DataFrame:
-    """Rows, distinct users, shared terms and entropy of each group."""
-    out = df.groupBy(*keys).agg(F.count("*").alias("docs"), *([F.count_distinct(users).alias("users")] if users else []))
-    for more in (shared_terms(df, keys, col, minimum, config), entropy(df, keys, col, config)):
-        same = [out[k].eqNullSafe(more[k]) for k in keys]
-        out = out.join(more, same, "left").select(*(out[c] for c in out.columns), *(more[c] for c in more.columns if c not in keys)) if keys else out.crossJoin(more)
-    return out
+    """``(keys, docs[, users], shared_terms, entropy)``: rows, distinct users, shared terms and entropy of each group; null keys are a group."""
+    base = df.groupBy(*keys).agg(F.count("*").alias("docs"), *([F.count_distinct(users).alias("users")] if users else []))
+    parts = [base, shared_terms(df, keys, col, minimum, config), entropy(df, keys, col, config)]
+    names = base.columns[len(keys) :] + ["shared_terms", "entropy"]
+    # each part has one row for each group: lay them side by side and merge, which keeps null keys without a null-safe join
+    wide = None
+    for p in parts:
+        own = p.columns[len(keys) :]
+        side = p.toDF(*(f"__k{i}" for i in range(len(keys))), *own)
+        side = side.select(*side.columns[: len(keys)], *(F.col(c) if c in own else F.lit(None).cast("double" if c == "entropy" else "bigint").alias(c) for c in names))
+        wide = side if wide is None else wide.unionByName(side)
+    merged = wide.groupBy(*(f"__k{i}" for i in range(len(keys)))).agg(*(F.max(c).alias(c) for c in names))
+    return merged.withColumn("shared_terms", F.col("shared_terms").cast("int")).toDF(*keys, *names)
 
 
 def entropy_of(rows) -> float:

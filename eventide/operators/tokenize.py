@@ -101,7 +101,8 @@ def process_text(df: DataFrame, text: str, keys: list[str], config: str = "simpl
 
     Rows of equal keys are counted together.
     """
-    return df.select(*keys, F.explode(terms(F.col(text), config)).alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("int").alias("count"))
+    rows = df.select(*keys, F.explode(terms(F.col(text), config)).alias("__term")).groupBy(*keys, "__term")
+    return rows.agg(F.count("*").cast("int").alias("__count")).toDF(*keys, "term", "count")
 
 
 def tokenize(text: str | list | dict | None, output: str = "dict", config: str = "english"):
