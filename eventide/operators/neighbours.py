@@ -30,6 +30,8 @@ MERCATOR_MAX = 20037508.35
 CELL_POINTS, CELL_SAMPLES = 20_000, 24
 #: Bounds of the sample that places the cuts.
 SAMPLE_LEAST, SAMPLE_MOST = 20_000, 1_000_000
+#: Bits of a task's number for the block within its cell.
+CELL_BITS = 40
 _NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 _POINT = rf"(?i)^\s*(?:SRID\s*=\s*(\d+)\s*;)?\s*POINT\s*(?:Z|M|ZM)?\s*\(\s*{_NUMBER}\s+{_NUMBER}(?:\s+{_NUMBER})*\s*\)\s*$"
 
@@ -189,19 +191,18 @@ def near_pairs(points: DataFrame, id_col: str, x: str, y: str, radius: str, *, m
             i, px, py, pr = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             point, cell, home = cuts.cells(_vectors(px, py), chord_of(py, pr))
             side = cuts.block[cell]
+            task, ask, give = cell.astype(np.int64) << CELL_BITS, home, np.ones(len(cell), bool)
             many = side > 1
-            task, ask, give = cell.astype(np.int64) << 20, home, np.ones(len(cell), bool)
             if many.any():  # a square of blocks: asked in one row of them, given in one column
-                parts = [(point[~many], task[~many], ask[~many], give[~many])]
-                for q in np.flatnonzero(many):
-                    s = side[q]
-                    own = int(i[point[q]] * 0x9E3779B97F4A7C15 % (1 << 64)) % s
-                    k = np.arange(s)
-                    if home[q]:
-                        parts.append((np.full(s, point[q]), (int(cell[q]) << 20) + own * s + k, np.ones(s, bool), k == own))
-                        k = k[k != own]
-                    parts.append((np.full(len(k), point[q]), (int(cell[q]) << 20) + k * s + own, np.zeros(len(k), bool), np.ones(len(k), bool)))
-                point, task, ask, give = (np.concatenate(z) for z in zip(*parts))
+                s = side[many]
+                own = ((i[point[many]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % s
+                k = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
+                p, base, at, was, s = (np.repeat(z, s) for z in (point[many], task[many], own, home[many], s))
+                rest = ~(was & (k == at))
+                task = np.concatenate([task[~many], (base + at * s + k)[was], (base + k * s + at)[rest]])
+                ask = np.concatenate([home[~many], np.ones(was.sum(), bool), np.zeros(rest.sum(), bool)])
+                give = np.concatenate([give[~many], (k == at)[was], np.ones(rest.sum(), bool)])
+                point = np.concatenate([point[~many], p[was], p[rest]])
             yield pa.RecordBatch.from_arrays([pa.array(z) for z in (task, ask, give, i[point], px[point], py[point], pr[point])], names=["task", "ask", "give", "id", "x", "y", "r"])
 
     dealt = once.mapInArrow(deal, "task bigint, ask boolean, give boolean, id bigint, x double, y double, r double")

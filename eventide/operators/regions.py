@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from .neighbours import CELL_POINTS, EARTH_R, SAMPLE_LEAST, _batches, _Cuts, _cuts_of, _finite, _vectors
+from .neighbours import CELL_BITS, CELL_POINTS, EARTH_R, SAMPLE_LEAST, _batches, _Cuts, _cuts_of, _finite, _vectors
 
 #: (point, edge) pairs that are looked at together.
 _AT_ONCE = 1 << 21
@@ -116,7 +116,7 @@ def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: D
             fit = np.isfinite(px) & np.isfinite(py)
             i, px, py = i[fit], px[fit], py[fit]
             _, cell, _ = (z[np.argsort(o[0], kind="stable")] for o in [cuts.cells(_vectors(px, py), np.full(len(px), -1.0))] for z in o)
-            task = (cell.astype(np.int64) << 20) + i % cuts.block[cell]
+            task = (cell.astype(np.int64) << CELL_BITS) + i % cuts.block[cell]
             one = np.arange(len(i) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(i), pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(px)), pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(py)), pa.array(np.zeros(len(i), bool))], names=["task", "id", "xs", "ys", "ring"])
 
@@ -125,7 +125,7 @@ def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: D
             out: list[tuple[int, int, list, list, bool]] = []
             for rid, cx, cy in zip(*(c.to_pylist() for c in b.columns)):
                 for cell in _cells_of_box(cuts, *_box_of_rectangle(min(cx), max(cx), min(cy), max(cy))):
-                    out += [((cell << 20) + k, rid, cx, cy, True) for k in range(cuts.block[cell])]
+                    out += [((cell << CELL_BITS) + k, rid, cx, cy, True) for k in range(cuts.block[cell])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_()))], names=["task", "id", "xs", "ys", "ring"])
 
