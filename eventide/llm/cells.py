@@ -32,22 +32,24 @@ BLOCK, PIVOT_FROM, PAIRS, ROWS = 20_000, 400, 1 << 19, 400_000
 class Batch:
     """Records as flat arrays; terms of a record are in pivot order, ``codes`` are ascending instead."""
 
-    def __init__(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray | None):
+    def __init__(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray | None, at: np.ndarray):
         self.size = np.diff(offsets)
         self.first = offsets[:-1]
         words = np.unique(terms, return_inverse=True)[1]
         record = np.repeat(np.arange(len(self.size)), self.size)
-        self.position = np.arange(len(terms)) - np.repeat(self.first, self.size)
         self.span = int(words.max()) + 1 if len(words) else 1
         key = record * self.span + words
+        self.words = words
         order = np.argsort(key, kind="stable")
         self.keys, self.codes = key[order], words[order]
-        self.position, self.weights = self.position[order], None if weights is None else weights[order]
+        self.weights = None if weights is None else weights[order]
         bit = (terms.view(np.uint64) >> np.uint64(20)) & np.uint64(127)
-        self.marks = []
+        self.marks, self.early = [], []  # of all terms, and of those before ``at``
+        before = np.arange(len(terms)) - np.repeat(self.first, self.size) < np.repeat(at, self.size)
         for half in range(2):
             own = np.where(bit >> np.uint64(6) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-            self.marks.append(np.bitwise_or.reduceat(own, self.first) if len(own) else own)
+            for marks, bits in ((self.marks, own), (self.early, np.where(before, own, np.uint64(0)))):
+                marks.append(np.bitwise_or.reduceat(bits, self.first) if len(bits) else bits)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pair, row of a, row of b) of each term that two records share."""
@@ -59,33 +61,40 @@ class Batch:
         hit = np.flatnonzero((other < len(self.keys)) & (self.keys[np.minimum(other, len(self.keys) - 1)] == key))
         return pair[hit], row[hit], other[hit]
 
+    def met_before(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether a term before position ``at`` of ``a`` is in ``b``; the marks of these terms rule most pairs out."""
+        out = np.zeros(len(a), bool)
+        may = np.flatnonzero((at[a] > 0) & np.any([(e[a] & m[b]) != 0 for e, m in zip(self.early, self.marks)], axis=0))
+        n = at[a[may]]
+        pair = np.repeat(may, n)
+        row = np.repeat(self.first[a[may]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key = b[pair] * self.span + self.words[row]
+        other = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[pair[self.keys[other] == key]] = True
+        return out
+
     def overlap_most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A bound of the number of common terms, from the marks."""
         more, less = (sum(np.bitwise_count(m[x] & ~m[y]).astype(np.int64) for m in self.marks) for x, y in ((a, b), (b, a)))
         return np.minimum(self.size[a] - more, self.size[b] - less)
 
 
-def jaccard(batch: Batch, a: np.ndarray, b: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs reach the threshold and first meet at position ``at`` of ``a``, and their distances."""
+def jaccard(batch: Batch, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs reach the threshold, and their distances."""
     both = batch.size[a] + batch.size[b]
     most = batch.overlap_most(a, b)
     fit = np.flatnonzero(most >= (both - most) * threshold)
-    pair, row, _ = batch.common(a[fit], b[fit])
-    n = np.bincount(pair, minlength=len(fit))
-    met = np.full(len(fit), np.iinfo(np.int64).max)
-    np.minimum.at(met, pair, batch.position[row])
+    n = np.bincount(batch.common(a[fit], b[fit])[0], minlength=len(fit))
     union = both[fit] - n
-    good = (n >= threshold * union) & (met == at[fit])
+    good = n >= threshold * union
     return fit[good], 1 - n[good] / union[good]
 
 
-def cosine(batch: Batch, a: np.ndarray, b: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def cosine(batch: Batch, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """As ``jaccard``, for vectors of length one."""
     pair, row, other = batch.common(a, b)
     dot = np.bincount(pair, batch.weights[row] * batch.weights[other], minlength=len(a))
-    met = np.full(len(a), np.iinfo(np.int64).max)
-    np.minimum.at(met, pair, batch.position[row])
-    good = np.flatnonzero((dot >= threshold) & (met == at))
+    good = np.flatnonzero(dot >= threshold)
     return good, np.maximum(0.0, 1 - dot[good])
 
 
@@ -178,15 +187,17 @@ def _join(measure: str, threshold: float):
         lists = rows.column("terms")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         weights = None if measure == "jaccard" else rows.column("weights").values.to_numpy()[offsets[0] : offsets[-1]]
-        batch = Batch(offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]], weights)
+        batch = Batch(offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]], weights, at.astype(np.int64))
         begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         sizes = np.diff(np.append(begin, len(cell)))
 
         def out(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
             keep = (ids[i] != ids[j]) & ((side[i] < 0) | (side[i] != side[j]))
             i, j = i[keep], j[keep]
+            new = ~batch.met_before(i, j, at)
+            i, j = i[new], j[new]
             for part in np.array_split(np.arange(len(i)), -(-int(batch.size[i].sum()) // (8 * PAIRS)) or 1):
-                good, distance = judge(batch, i[part], j[part], at[i[part]], threshold)
+                good, distance = judge(batch, i[part], j[part], threshold)
                 good = part[good]
                 if len(good):
                     a, b = ids[i[good]], ids[j[good]]
