@@ -187,6 +187,7 @@ class State:
 _COUNTS = ["solid", "symbols", "words", "common", "lines", "marked"]
 _FLAT = "solid bigint, symbols bigint, words bigint, common bigint, lines bigint, marked bigint, white boolean, feed boolean, h1 string, h2 string, h3 string, t1 string, t2 string, t3 string, head_line int, tail_line int"
 _FLAT_NAMES = [f.split()[0] for f in _FLAT.split(", ")]
+_FLAT_TYPES = [{"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "int": pa.int32()}[f.split()[1]] for f in _FLAT.split(", ")]
 
 
 def quality(documents: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str, *, chunk: int = CHUNK, most_words: int = 1_000_000) -> DataFrame:
@@ -225,7 +226,7 @@ def quality(documents: DataFrame, id_col: str, text_col: str, common_words: Data
         for batch in it:
             flat = [State.of(_text(t), common, longest).flat() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             if flat:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("part"), *(pa.array(list(c)) for c in zip(*flat))], names=["row", "id", "part", *_FLAT_NAMES])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("part"), *(pa.array(list(c), t) for c, t in zip(zip(*flat), _FLAT_TYPES))], names=["row", "id", "part", *_FLAT_NAMES])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")
