@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from .tokenize import keyword_terms, terms_of
 
 #: Models of at most this many terms are looked up in a literal map, larger ones are joined.
@@ -51,10 +54,10 @@ class EventTypeModel:
         n = rows.agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q")).first()
         if not n["p"] or not n["q"]:
             raise ValueError("training needs rows with the label true and rows with the label false")
-        per = rows.select("y", F.explode("w").alias("term")).groupBy("term").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-        sums = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("Q"), F.count("*").alias("V"))
-        P, Q, V = (sums.select(c).scalar() for c in "PQV")
-        weight = F.log((F.col("pos") + 1) / (P + V)) - F.log((F.col("neg") + 1) / (Q + V))
+        # the texts are taken apart once; what is left has a row for each term
+        per = runtime.cut(rows.select("y", F.explode("w").alias("term")).groupBy("term").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
+        P, Q, V = (x or 0 for x in per.agg(F.sum("pos"), F.sum("neg"), F.count("*")).first())
+        weight = F.log((F.col("pos") + 1) / F.lit(P + V)) - F.log((F.col("neg") + 1) / F.lit(Q + V))
         terms = per.select(F.lit(name).alias("event_type"), "term", weight.alias("weight"))
         bias = df.sparkSession.range(1).select(F.lit(name).alias("event_type"), F.lit("").alias("term"), F.log(F.lit(n["p"] / n["q"])).alias("weight"))
         return EventTypeModel(terms.unionByName(bias))
@@ -81,12 +84,10 @@ class EventTypeModel:
         if not held:
             raise ValueError(f"unknown event type {name!r}")
         words = F.array_distinct(F.array_compact(terms_of(F.col(text_col), dict(df.dtypes)[text_col], config)))
-        if len(held) <= LITERAL_TERMS:
-            total = self._by_map(df, words, {r["term"]: r["weight"] for r in held})
-        else:
-            total = None
         hit = has_keyword(df, text_col, keywords, config) if keywords is not None else None
-        if total is not None:
+        if len(held) <= LITERAL_TERMS:
+            asked = words if hit is None else F.when(hit, words)  # only these rows' terms leave the JVM
+            total = self._by_map(df, asked, {r["term"]: r["weight"] for r in held})
             verdict = total > 0
             if hit is not None:
                 verdict = F.when(hit.isNull(), F.lit(None).cast("boolean")).when(hit, verdict).otherwise(False)
@@ -102,15 +103,14 @@ class EventTypeModel:
         @F.pandas_udf("double")
         def scored(rows):
             w = held.value
-            return rows.map(lambda r: None if r is None else float(sum(w.get(t, 0.0) for t in sorted(r)) + w.get("", 0.0)))
+            bias = w.get("", 0.0)
+            return rows.map(lambda r: None if r is None else math.fsum([w.get(t, 0.0) for t in r]) + bias)
 
         return scored(words)
 
     @staticmethod
     def _by_join(df: DataFrame, words: Column, model: DataFrame, hit: Column | None, out: str, score: str | None) -> DataFrame:
         rows = df.withColumns({"__row": F.monotonically_increasing_id(), "__hit": F.lit(True) if hit is None else hit, "__w": words})
-        from .. import runtime
-
         rows = runtime.cut(rows)
         bias = model.filter("term = ''").select("weight").scalar()
         hits = rows.filter("__hit").select("__row", F.explode("__w").alias("term")).join(model.filter("term <> ''").select("term", "weight"), "term")

@@ -340,11 +340,7 @@ def incremental_cluster(spark: SparkSession, sf: str) -> DataFrame:
 def most_similar(spark: SparkSession, sf: str) -> DataFrame:
     """For each post whose id is divisible by 50, the five nearest of all posts."""
     w = tfidf.tfidf(posts(spark, sf), "doc_id", "txt")
-    pairs = cluster.cosine_pairs(w.filter("doc_id % 50 = 0"), w, "doc_id").filter("a <> b").withColumn("similarity", F.round("similarity", 8))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return pairs.withColumn("k", rank).filter("k <= 5").select("a", "b", "similarity")
+    return cluster.most_similar(w.filter("doc_id % 50 = 0"), w, "doc_id", 5, digits=8).select("a", "b", "similarity")
 
 
 # --- candidate events -------------------------------------------------------------------------------------------------
