@@ -27,6 +27,8 @@ from .. import runtime
 HEAVY_SHARE = 1 / 100_000
 #: Records of a cell that one task compares; from how many on record pivots cut the cell; pairs, and term rows, held at once.
 BLOCK, PIVOT_FROM, PAIRS, ROWS = 20_000, 400, 1 << 19, 400_000
+#: Records from which on a cell of a spanning join leaves linked records out.
+SPAN_FROM = 24
 
 
 class Batch:
@@ -131,6 +133,23 @@ def _pairs_by_pivots(batch: Batch, rows: np.ndarray, theta: float) -> Iterator[t
             yield rows[i[keep]], rows[j[keep]]
 
 
+def _spanning(batch: Batch, rows: np.ndarray, judge, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of similar pairs that link whatever is linked within one cell: records that are linked already aren't compared."""
+    part, left = np.arange(len(rows)), np.ones(len(rows), bool)
+    for i in range(len(rows)):
+        left[i] = False
+        other = np.flatnonzero(left & (part != part[i]))
+        if not len(other):
+            if (part == part[0]).all():
+                return
+            continue
+        good, distance = judge(batch, np.full(len(other), rows[i]), rows[other], threshold)
+        if len(good):
+            hit = other[good]
+            part[np.isin(part, part[hit])] = part[i]
+            yield np.full(len(hit), rows[i]), rows[hit], distance
+
+
 def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float):
     """Rows (cell, id, at, terms, weights): each record in every cell that the bound leaves it."""
     words, known = heavy
@@ -176,7 +195,7 @@ def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float
     return spread
 
 
-def _join(measure: str, threshold: float):
+def _join(measure: str, threshold: float, spanning: bool):
     theta = 1 - threshold
     judge = jaccard if measure == "jaccard" else cosine
 
@@ -200,16 +219,23 @@ def _join(measure: str, threshold: float):
                 good, distance = judge(batch, i[part], j[part], threshold)
                 good = part[good]
                 if len(good):
-                    a, b = ids[i[good]], ids[j[good]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance)], names=["a", "b", "distance"])
+                    yield given(i[good], j[good], distance)
 
-        small = (sizes > 1) & (sizes < PIVOT_FROM)
+        def given(i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+            a, b = ids[i], ids[j]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance)], names=["a", "b", "distance"])
+
+        large = SPAN_FROM if spanning else PIVOT_FROM
+        small = (sizes > 1) & (sizes < large)
         member = np.flatnonzero(np.repeat(small, sizes))
         for i, j in _pairs_of_small(sizes[small]):
             yield from out(member[i], member[j])
-        for k in np.flatnonzero(sizes >= PIVOT_FROM):
+        for k in np.flatnonzero(sizes >= large):
             own = np.arange(begin[k], begin[k] + sizes[k])
-            if measure == "jaccard":
+            if spanning:
+                for i, j, distance in _spanning(batch, own, judge, threshold):
+                    yield given(i, j, distance)
+            elif measure == "jaccard":
                 for i, j in _pairs_by_pivots(batch, own, theta):
                     yield from out(i, j)
             else:
@@ -240,9 +266,12 @@ def _join(measure: str, threshold: float):
     return join
 
 
-def similar(records: DataFrame, measure: str, threshold: float, *, block: int = BLOCK) -> DataFrame:
+def similar(records: DataFrame, measure: str, threshold: float, *, block: int = BLOCK, spanning: bool = False) -> DataFrame:
     """``(a, b, distance)``, a < b, of all pairs of records whose similarity reaches ``threshold``, each pair once.
 
+    With ``spanning``, only so many of these pairs (some perhaps twice) that all records which are linked, directly or through others,
+    are linked by them: within a large cell, records known to be linked aren't compared, so a dense cell costs little more than its size.
+
     ``records`` has ``id`` BIGINT (unique), ``terms`` ARRAY<BIGINT> of distinct term hashes and for "cosine" ``weights``
     ARRAY<DOUBLE>, positive and parallel to them. Records without terms are similar to nothing.
     ``records`` is read several times and should be stored.
@@ -281,4 +310,4 @@ def similar(records: DataFrame, measure: str, threshold: float, *, block: int =
         side = F.when(low == high, F.lit(-1)).otherwise(F.when(F.col("own") == low, F.lit(0)).otherwise(F.lit(1))).cast("byte")
         task = F.when(F.col("sides").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high))
         tasks = known.select(task.alias("task"), "id", "at", "terms", "weights", side.alias("side"))
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join(measure, threshold), "a bigint, b bigint, distance double")
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join(measure, threshold, spanning), "a bigint, b bigint, distance double")

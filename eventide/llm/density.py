@@ -22,18 +22,20 @@ def vectors(rows: DataFrame, id_col: str, term_col: str, weight_col: str) -> Dat
     return clean.groupBy("id", "term").agg(F.sum("w").alias("w")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("v")).select("id", F.col("v.term").alias("terms"), F.col("v.w").alias("weights"))
 
 
-def neighbour_graph(records: DataFrame, least_cosine: float, min_samples: int = 1) -> tuple[DataFrame, DataFrame]:
+def neighbour_graph(records: DataFrame, least_cosine: float, min_samples: int = 1, spanning: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mutual-reachability edges ``(a, b, distance)`` between representatives, and ``(id, rep)`` of every vector.
 
     Equal vectors are one node, represented by its smallest id. The distance is 1 - cosine; an edge's length is the greatest of it and
     both core distances, the distance to the ``min_samples``-th vector from each (itself and its copies included). Nodes with fewer
-    vectors within reach have no edges.
+    vectors within reach have no edges. ``spanning`` (at ``min_samples`` 1 only) gives no more edges than link what is linked.
     """
+    if spanning and min_samples > 1:
+        raise ValueError("core distances need all neighbours")
     held = runtime.cut(records)
     nodes = runtime.cut(held.groupBy("terms", "weights").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     member = held.join(nodes.filter("copies > 1").select("terms", "weights", F.col("id").alias("rep")), ["terms", "weights"]).select("id", "rep")
     member = member.unionByName(nodes.filter("copies = 1").select("id", F.col("id").alias("rep")))
-    edges = similar(nodes.select("id", "terms", "weights"), "cosine", least_cosine)
+    edges = similar(nodes.select("id", "terms", "weights"), "cosine", least_cosine, spanning=spanning)
     if min_samples <= 1:
         return edges, member
     edges = runtime.cut(edges)
@@ -53,9 +55,9 @@ def linked_groups(records: DataFrame, least_cosine: float, min_samples: int = 1)
     """``(lead, id)``: the hierarchy cut at a distance of 1 - ``least_cosine``; ``lead`` is the smallest id of its group.
 
     Every vector has a row, also those alone in their group. At ``min_samples`` 1 the groups are those of ids linked
-    directly or through others.
+    directly or through others; the forest then needs no edge between vectors that others link, so a dense group isn't compared in full.
     """
-    edges, member = neighbour_graph(records, least_cosine, min_samples)
+    edges, member = neighbour_graph(records, least_cosine, min_samples, spanning=min_samples <= 1)
     _, root = spanning_forest(edges)
     group = member.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     lead = group.groupBy("root").agg(F.min("id").alias("lead"))

@@ -227,3 +227,25 @@ def test_clusters_described(spark):
     sizes = spark.createDataFrame([(0, 5), (1, None), (10, 2), (10, 2), (11, 0)], "id int, n int")
     got = {r["lead"]: (r["members"], r["doc_count"], r["exemplars"]) for r in described(members, sizes, "id", "n").collect()}
     assert got[10][:2] == (3, 2) and got[0][:2] == (5, 5) and got[0][2] == [0, 1, 21]
+
+
+@pytest.mark.parametrize("block", [20_000, 15])
+def test_spanning_join_links_the_same(spark, block):
+    import eventide.llm.cells as cells
+
+    r = random.Random(11)
+    v = {}
+    for i in range(160):  # dense groups around a few words, and records between them
+        k = r.randrange(4)
+        v[i] = {f"hot{k}": 3.0, f"hot{(k + r.randrange(2)) % 4}": r.choice([0.1, 2.5]), f"n{r.randrange(60)}": r.random(), "all": 0.2}
+    df = spark.createDataFrame(rows_of(v), "id int, term string, weight double")
+    held = vectors(df, "id", "term", "weight").cache()
+    every = similar(held, "cosine", 0.8, block=block).collect()
+    pairs = {(a, b) for a in v for b in v if a < b and cosine(v[a], v[b]) >= 0.8}
+    assert sorted((x["a"], x["b"]) for x in every) == sorted(pairs)
+    some = similar(held, "cosine", 0.8, block=block, spanning=True).collect()
+    assert {(x["a"], x["b"]) for x in some} <= pairs and len(some) < len(pairs)
+    assert groups(v, [(x["a"], x["b"]) for x in some]) == groups(v, pairs)
+    assert cells.SPAN_FROM < 160
+    with pytest.raises(ValueError):
+        neighbour_graph(held, 0.7, 2, spanning=True)
