@@ -27,6 +27,8 @@ from .. import runtime
 HEAVY_SHARE = 1 / 100_000
 #: Records of a cell that one task compares; from how many on record pivots cut the cell; pairs, and term rows, held at once.
 BLOCK, PIVOT_FROM, PAIRS, ROWS = 20_000, 400, 1 << 19, 400_000
+#: Terms up to which a record travels to its cells whole; a longer one is looked for by its cells' numbers and fetched for each candidate pair.
+LONG = 1_000
 #: Records from which on a cell of a spanning join leaves linked records out.
 SPAN_FROM = 24
 
@@ -150,8 +152,8 @@ def _spanning(batch: Batch, rows: np.ndarray, judge, threshold: float) -> Iterat
             yield np.full(len(hit), rows[i]), rows[hit], distance
 
 
-def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float):
-    """Rows (cell, id, at, terms, weights): each record in every cell that the bound leaves it."""
+def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float, light: bool = False):
+    """Rows (cell, id, at, terms, weights): each record in every cell that the bound leaves it; ``light``: (cell, id, size) only."""
     words, known = heavy
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +182,10 @@ def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float
                     left = np.where(size > 0, 1.0, 0)[record] - (done - weights**2 - np.append(0.0, done)[first][record])
                     keep = left >= threshold**2 - 1e-9
                 rows = np.flatnonzero(keep)
+                if light:
+                    for part in np.array_split(rows, -(-len(rows) // (4 * ROWS)) or 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(terms[part]), pa.array(ids[record[part]]), pa.array(size[record[part]].astype(np.int32))], names=["cell", "id", "size"])
+                    continue
                 for part in np.array_split(rows, -(-int(size[record[rows]].sum()) // (4 * ROWS)) or 1):
                     if not len(part):
                         continue
@@ -266,6 +272,43 @@ def _join(measure: str, threshold: float, spanning: bool):
     return join
 
 
+def _verify(measure: str, threshold: float):
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            good, distance = [], []
+            for k in range(len(batch)):
+                ta, wa, tb, wb = (batch.column(c)[k].values.to_numpy() for c in ("ta", "wa", "tb", "wb"))
+                same, i, j = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
+                if measure == "jaccard":
+                    union = len(ta) + len(tb) - len(same)
+                    fit, d = len(same) >= threshold * union, 1 - len(same) / union
+                else:
+                    dot = float(wa[i] @ wb[j] / np.sqrt((wa @ wa) * (wb @ wb)))
+                    fit, d = dot >= threshold, max(0.0, 1 - dot)
+                if fit:
+                    good.append(k)
+                    distance.append(d)
+            if good:
+                at = pa.array(good)
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(distance)], names=["a", "b", "distance"])
+
+    return verify
+
+
+def _long_pairs(records: DataFrame, heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float) -> DataFrame:
+    """The similar pairs with a record of more than ``LONG`` terms: candidates share a cell, each is verified once."""
+    may = records.filter(F.size("terms") >= threshold * LONG) if measure == "jaccard" else records
+    light = may.mapInArrow(_spread(heavy, measure, threshold, light=True), "cell bigint, id bigint, size int")
+    a = light.filter(F.col("size") > LONG).select("cell", F.col("id").alias("x"), F.col("size").alias("n"))
+    b = light.select("cell", F.col("id").alias("y"), F.col("size").alias("m"))
+    met = a.join(b, "cell").filter("x <> y")
+    if measure == "jaccard":
+        met = met.filter((F.col("m") >= threshold * F.col("n") - 1e-9) & (F.col("n") >= threshold * F.col("m") - 1e-9))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: may.select(F.col("id").alias(c), F.col("terms").alias(f"t{c}"), F.col("weights").alias(f"w{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(measure, threshold), "a bigint, b bigint, distance double")
+
+
 def similar(records: DataFrame, measure: str, threshold: float, *, block: int = BLOCK, spanning: bool = False) -> DataFrame:
     """``(a, b, distance)``, a < b, of all pairs of records whose similarity reaches ``threshold``, each pair once.
 
@@ -283,11 +326,13 @@ def similar(records: DataFrame, measure: str, threshold: float, *, block: int =
     if measure == "jaccard":
         records = records.select("id", "terms", F.array().cast("array<double>").alias("weights"))
     df = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = records.agg(F.sum(F.size("terms").cast("bigint"))).first()[0] or 0
+    total, longest = (x or 0 for x in records.agg(F.sum(F.size("terms").cast("bigint")), F.max(F.size("terms"))).first())
     least = max(2, math.ceil(total * HEAVY_SHARE))
     top = df.filter(F.col("df") >= least).orderBy("term").toPandas()  # at most 1 / HEAVY_SHARE rows
     heavy = top["term"].to_numpy(np.int64), top["df"].to_numpy(np.int64)
     block = max(block, least)
+    long = _long_pairs(records, heavy, measure, threshold) if longest > LONG else None
+    records = records.filter(F.size("terms") <= LONG)
 
     kind = "cell bigint, id bigint, at int, terms array<bigint>, weights array<double>"
     dealt = records.mapInArrow(_spread(heavy, measure, threshold), kind)
@@ -310,4 +355,5 @@ def similar(records: DataFrame, measure: str, threshold: float, *, block: int =
         side = F.when(low == high, F.lit(-1)).otherwise(F.when(F.col("own") == low, F.lit(0)).otherwise(F.lit(1))).cast("byte")
         task = F.when(F.col("sides").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high))
         tasks = known.select(task.alias("task"), "id", "at", "terms", "weights", side.alias("side"))
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join(measure, threshold, spanning), "a bigint, b bigint, distance double")
+    pairs = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join(measure, threshold, spanning), "a bigint, b bigint, distance double")
+    return pairs if long is None else pairs.unionByName(long)

@@ -249,3 +249,24 @@ def test_spanning_join_links_the_same(spark, block):
     assert cells.SPAN_FROM < 160
     with pytest.raises(ValueError):
         neighbour_graph(held, 0.7, 2, spanning=True)
+
+
+@pytest.mark.parametrize("longest", [1, 7, 10])
+def test_long_records(spark, monkeypatch, longest):
+    import eventide.llm.cells as cells
+
+    monkeypatch.setattr(cells, "LONG", longest)
+    a = sets(150)
+    df = spark.createDataFrame(a, "id int, t array<string>")
+    pairs, members = similar_sets([(df, "id", "t")], 0.6)
+    assert sorted(map(tuple, expanded(pairs, members).collect())) == jaccard_pairs(a, 0.6)
+    v = weighted(100)
+    w = spark.createDataFrame(rows_of(v), "id int, term string, weight double")
+    got = linked_groups(vectors(w, "id", "term", "weight"), 0.7).collect()
+    assert {r["id"]: r["lead"] for r in got} == groups(v, [(x, y) for x in v for y in v if x < y and cosine(v[x], v[y]) >= 0.7])
+
+
+def test_very_long_sets(spark):
+    big = spark.range(1, 4).selectExpr("id", "transform(sequence(1L, 60000L), x -> concat('t', x + id * 5000)) AS t").union(spark.createDataFrame([(9, ["t1", "t2"])], "id long, t array<string>"))
+    pairs, members = similar_sets([(big, "id", "t")], 0.6)
+    assert sorted(map(tuple, expanded(pairs, members).collect())) == [(1, 2), (1, 3), (2, 3)]
