@@ -26,6 +26,9 @@ _BODIES = {
         CASE WHEN _micros(interval_length) IN ({", ".join(str(m * 60_000_000) for m in PERIODS)}) AND abs(coalesce(_micros(shift), 0)) < _micros(interval_length)
         THEN _period(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) - coalesce(_micros(shift), 0), _micros(interval_length), coalesce(_micros(shift), 0))
         ELSE CAST(raise_error('interval length or shift is not allowed') AS STRUCT<start_timestamp TIMESTAMP_NTZ, end_timestamp TIMESTAMP_NTZ>) END""",
+    "spatial_partition_rows(x DOUBLE, y DOUBLE, cell_length DOUBLE) RETURNS TABLE(cell_x INT, cell_y INT)": """
+        SELECT CAST(floor(spatial_partition_rows.x / spatial_partition_rows.cell_length) AS INT), CAST(floor(spatial_partition_rows.y / spatial_partition_rows.cell_length) AS INT)
+        WHERE spatial_partition_rows.cell_length > 0 AND spatial_partition_rows.cell_length < double('infinity') AND abs(spatial_partition_rows.x) < double('infinity') AND abs(spatial_partition_rows.y) < double('infinity')""",
     "text_terms(txt STRING) RETURNS ARRAY<STRING>": "filter(split(lower(txt), '[^0-9a-z]+'), w -> w <> '')",
     "keyword_overlap(txt STRING, keywords STRING) RETURNS INT": "CASE WHEN txt IS NOT NULL AND keywords IS NOT NULL THEN size(array_intersect(text_terms(txt), text_terms(keywords))) END",
     "has_keyword(txt STRING, keywords STRING) RETURNS BOOLEAN": "CASE WHEN size(text_terms(keywords)) > 0 THEN arrays_overlap(text_terms(txt), text_terms(keywords)) ELSE false END",
@@ -34,7 +37,7 @@ _BODIES = {
 
 
 def register(spark: SparkSession) -> None:
-    """``spatial_partition``, ``time_partition``, ``text_terms``, ``keyword_overlap``, ``has_keyword``, ``process_text`` (table), and the aggregates ``term_entropy(terms)`` and ``shared_terms(terms, minimum)``."""
+    """``spatial_partition``, ``time_partition``, ``text_terms``, ``keyword_overlap``, ``has_keyword``, the tables ``process_text`` and ``spatial_partition_rows`` (no row for a bad length), and the aggregates ``term_entropy(terms)`` and ``shared_terms(terms, minimum)``."""
     for head, body in _BODIES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udf.register("term_entropy", entropy_udaf)

@@ -86,6 +86,12 @@ def spatial_partition(x: Column, y: Column, cell_length: float | Column | None,
     return F.when(fit, cell_id).otherwise(F.raise_error(F.concat(F.lit("cell length must be finite and above 0, not "), F.coalesce(cell.cast("string"), F.lit("<NULL>")))).cast("struct<x:int,y:int>"))
 
 
+def cell_rows(df: DataFrame, x: str, y: str, cell_length: str) -> DataFrame:
+    """``df`` with ``cell_x``, ``cell_y`` by each row's own cell length; rows whose length or coordinates are unusable are left out."""
+    cell = spatial_partition(F.col(x), F.col(y), F.col(cell_length), on_invalid="null")
+    return df.withColumn("__cell", cell).withColumns({"cell_x": F.col("__cell.x"), "cell_y": F.col("__cell.y")}).drop("__cell").filter("cell_x IS NOT NULL AND cell_y IS NOT NULL")
+
+
 def to_web_mercator(lon: Column, lat: Column) -> Column:
     """STRUCT(x, y) in Web Mercator metres of degrees; spherical formulas, NULL at and beyond the poles."""
     return F.struct(mercator_x(lon).alias("x"), mercator_y(lat).alias("y"))

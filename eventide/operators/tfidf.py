@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import save_table
-from .tokenize import terms_of
+from .tokenize import terms_of, tokenize
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, config: str = "simple", save_as: str | None = None, overwrite: bool = False) -> DataFrame:
@@ -56,6 +58,42 @@ class TfIdfModel:
         both = self.frequencies.unionByName(more).groupBy("term").agg(F.sum("document_count").alias("document_count"))
         return TfIdfModel(both, self.total + df.count())
 
+    def insert_counts(self, counts: DataFrame, id_col: str) -> "TfIdfModel":
+        """As ``insert``, for documents given as rows (id, term, count); rows with a count under 1 or a null term don't count."""
+        fit = counts.filter("term IS NOT NULL AND count >= 1")
+        more = fit.groupBy("term").agg(F.count_distinct(id_col).alias("document_count"))
+        both = self.frequencies.unionByName(more).groupBy("term").agg(F.sum("document_count").alias("document_count"))
+        return TfIdfModel(both, self.total + counts.select(id_col).distinct().count())
+
+    def df_of(self, term: str) -> int:
+        """Documents with the term."""
+        row = self.frequencies.filter(F.col("term") == term).first()
+        return row["document_count"] if row else 0
+
+    def idf_of(self, term: str, base: int | None = 10) -> float:
+        """0 for a term never seen."""
+        n = self.df_of(term)
+        if not n or not self.total:
+            return 0.0
+        return math.log10(self.total / n) if base == 10 else math.log(self.total / n)
+
+    @staticmethod
+    def tf_of(text: str | None, term: str, config: str = "simple") -> float:
+        """Share of the term among the terms of a text; 0 for a text without terms."""
+        counts = tokenize(text, "dict", config)
+        total = sum(counts.values())
+        return counts.get(term, 0) / total if total else 0.0
+
+    def tfidf_of(self, text: str | None, term: str, config: str = "simple") -> float:
+        return self.tf_of(text, term, config) * self.idf_of(term)
+
+    def vector_of(self, text: str | list | dict | None, config: str = "simple") -> dict[str, float]:
+        """Weights of one text, or of its term counts."""
+        counts = tokenize(text, "dict", config)
+        total = sum(counts.values())
+        known = {r["term"]: r["idf"] for r in self.idf().filter(F.col("term").isin(*counts)).collect()} if counts else {}
+        return {t: n / total * known.get(t, 0.0) for t, n in counts.items()}
+
     def idf(self, base: int | None = 10) -> DataFrame:
         ratio = F.lit(float(self.total)) / F.col("document_count")
         value = F.log10(ratio) if base == 10 else F.log(ratio)

@@ -105,6 +105,16 @@ def process_text(df: DataFrame, text: str, keys: list[str], config: str = "simpl
     return rows.agg(F.count("*").cast("int").alias("__count")).toDF(*keys, "term", "count")
 
 
+def distinct_terms(df: DataFrame, text: str, keys: list[str], config: str = "simple") -> DataFrame:
+    """``(keys, term, count)`` with a count of 1 for each distinct term of a row, however often it occurs; null texts give none."""
+    return df.select(*keys, F.explode(F.array_distinct(terms(F.col(text), config))).alias("__term"), F.lit(1).alias("__count")).toDF(*keys, "term", "count")
+
+
+def term_frequency(words: Column, term: str) -> Column:
+    """Occurrences of a term in an array of terms; NULL for a null array."""
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def tokenize(text: str | list | dict | None, output: str = "dict", config: str = "english"):
     """Term counts of one text on the driver: a dict, or a list of (term, count). Also takes a list of terms, of (term, count) or a dict."""
     if output not in ("dict", "list"):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,17 +45,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table into the shared folder and read it back.
-
-    Unlike a checkpoint the columns can be read one by one.
-    """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plan_bytes(df: DataFrame) -> int | None:
     """Size of the input as the optimizer estimates it, or None where it has no estimate."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -73,7 +61,3 @@ def sample_fraction(df: DataFrame, rows: int, row_bytes: int) -> float:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)

@@ -41,3 +41,19 @@ def save_table(tables: dict[str, DataFrame], overwrite: bool = False) -> None:
         raise ValueError(f"table exists already: {', '.join(sorted(there))}; set overwrite to replace it")
     for name, df in tables.items():
         df.write.mode("overwrite" if overwrite else "errorifexists").saveAsTable(name.strip().lower())
+
+
+def jdbc(spark: SparkSession, url: str, table: str, split_by: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database by JDBC; with ``split_by`` it is read in ``parts`` ranges of that column at once."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if split_by:
+        reader = reader.options(partitionColumn=split_by, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    return reader.load()
+
+
+def save_files(df: DataFrame, path: str, kind: str = "csv", overwrite: bool = False) -> None:
+    """Write "csv" (with a header), "json" or "parquet" files."""
+    if kind not in ("csv", "json", "parquet"):
+        raise ValueError("kind is 'csv', 'json' or 'parquet'")
+    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
+    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
