@@ -27,7 +27,7 @@ _BODIES = {
         THEN _period(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) - coalesce(_micros(shift), 0), _micros(interval_length), coalesce(_micros(shift), 0))
         ELSE CAST(raise_error('interval length or shift is not allowed') AS STRUCT<start_timestamp TIMESTAMP_NTZ, end_timestamp TIMESTAMP_NTZ>) END""",
     "spatial_partition_rows(x DOUBLE, y DOUBLE, cell_length DOUBLE) RETURNS TABLE(cell_x INT, cell_y INT)": """
-        SELECT CAST(floor(spatial_partition_rows.x / spatial_partition_rows.cell_length) AS INT), CAST(floor(spatial_partition_rows.y / spatial_partition_rows.cell_length) AS INT)
+        SELECT CAST(floor(spatial_partition_rows.x / nullif(spatial_partition_rows.cell_length, 0)) AS INT), CAST(floor(spatial_partition_rows.y / nullif(spatial_partition_rows.cell_length, 0)) AS INT)
         WHERE spatial_partition_rows.cell_length > 0 AND spatial_partition_rows.cell_length < double('infinity') AND abs(spatial_partition_rows.x) < double('infinity') AND abs(spatial_partition_rows.y) < double('infinity')""",
     "text_terms(txt STRING) RETURNS ARRAY<STRING>": "filter(split(lower(txt), '[^0-9a-z]+'), w -> w <> '')",
     "keyword_overlap(txt STRING, keywords STRING) RETURNS INT": "CASE WHEN txt IS NOT NULL AND keywords IS NOT NULL THEN size(array_intersect(text_terms(txt), text_terms(keywords))) END",

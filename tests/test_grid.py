@@ -116,3 +116,12 @@ def test_no_python_and_pushed_filters(spark, tmp_path):
     out = df.groupBy(G.time_partition(F.col("ts"), M(15)).alias("p"), G.spatial_partition(F.col("x"), F.col("y"), 2.0).alias("c")).count()
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "GreaterThan(x,3.0)" in plan and "unused" not in plan.split("ReadSchema")[1]
+
+
+def test_cell_rows(spark, rows):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 15.0, -5.0, 10.0), (2, 1.0, 1.0, 0.0), (3, 1.0, 1.0, nan), (4, nan, 1.0, 5.0), (5, None, 1.0, 5.0), (6, 1.0, 1.0, None)], "id int, x double, y double, c double")
+    assert rows(G.cell_rows(df, "x", "y", "c").select("id", "cell_x", "cell_y")) == [(1, 1, -1)]
+    register(spark)
+    df.createOrReplaceTempView("some")
+    assert rows(spark.sql("SELECT id, t.cell_x, t.cell_y FROM some, LATERAL spatial_partition_rows(x, y, c) AS t")) == [(1, 1, -1)]

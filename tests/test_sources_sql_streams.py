@@ -78,4 +78,31 @@ def test_live_frequencies_and_clusters(spark, tmp_path, rows):
 def test_entry_has_every_name():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40
+    assert set(e.oracle_sql()) <= set(e.queries()) and len([q for q in e.queries() if not q.startswith("p")]) > 40
+
+
+def test_generators(spark):
+    from eventide.sources import synthetic_labels, synthetic_points, synthetic_posts, synthetic_times
+
+    a = synthetic_posts(spark, 50, topics=3)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, synthetic_posts(spark, 50, topics=3).repartition(7).collect()))
+    assert all(len(r["txt"].split()) == 12 for r in a.collect()) and len({r["ts"] for r in a.collect()}) == 50
+    assert synthetic_posts(spark, 50, seed=2).exceptAll(synthetic_posts(spark, 50)).count() > 0
+    labels = synthetic_labels(spark, 2000, 0.2)
+    assert 250 < labels.filter("txt LIKE '%earthquake%'").count() < 550 and 0 < labels.filter("is_earthquake").count() < 300
+    assert synthetic_points(spark, 100).filter("abs(x) > 500000 OR abs(y) > 500000").count() == 0
+    assert synthetic_points(spark, 100, towns=2).selectExpr("floor(x / 40000) c").distinct().count() <= 4
+    assert synthetic_times(spark, 100, 2).filter("ts >= TIMESTAMP_NTZ '2025-01-03 00:00:00'").count() == 0
+
+
+def test_file_sinks(spark, tmp_path):
+    from eventide.sources import save_files
+
+    save_files(spark.range(3), f"{tmp_path}/c")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == 3
+    with pytest.raises(PySparkException):
+        save_files(spark.range(3), f"{tmp_path}/c")
+    save_files(spark.range(2), f"{tmp_path}/c", "json", overwrite=True)
+    assert spark.read.json(f"{tmp_path}/c").count() == 2
+    with pytest.raises(ValueError):
+        save_files(spark.range(3), f"{tmp_path}/x", "orc")

@@ -59,3 +59,16 @@ def test_saved_table_is_guarded(spark):
 def test_english(spark):
     df = spark.createDataFrame([(1, "Fires and a fire downtown"), (2, "x")], "id int, t string")
     assert {r["term"] for r in tfidf(df, "id", "t", "english").filter(F.col("id") == 1).collect()} == {"fire", "downtown"}
+
+
+def test_model_look_ups(spark):
+    model = TfIdfModel.fit(spark.createDataFrame(DOCS, "doc_id int, txt string"), "txt")
+    assert model.df_of("cat") == 2 and model.df_of("zebra") == 0
+    assert model.idf_of("cat") == pytest.approx(math.log10(2.5)) and model.idf_of("cat", None) == pytest.approx(math.log(2.5)) and model.idf_of("zebra") == 0
+    assert model.tf_of("cat cat x", "cat") == pytest.approx(2 / 3) and model.tf_of(None, "cat") == 0
+    assert model.tfidf_of("cat x", "cat") == pytest.approx(0.5 * math.log10(2.5))
+    assert model.vector_of("cat zebra") == pytest.approx({"cat": 0.5 * math.log10(2.5), "zebra": 0}) and model.vector_of("") == {}
+    assert model.vector_of({"cat": 3, "zebra": 1})["cat"] == pytest.approx(0.75 * math.log10(2.5))
+    more = model.insert_counts(spark.createDataFrame([(6, "cat", 4), (6, "dog", 1), (7, None, 1), (8, "x", 0)], "id int, term string, count int"), "id")
+    assert more.total == 8 and more.df_of("cat") == 3 and more.df_of("dog") == 1 and more.df_of("x") == 0
+    assert TfIdfModel(model.frequencies, 0).idf().first()["idf"] == 0

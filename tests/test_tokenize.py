@@ -47,3 +47,10 @@ def test_driver_tokenizer():
 def test_keywords():
     assert T.keyword_terms("earthquake, shaking", "english") == ["earthquak", "shake"]
     assert T.keyword_terms(None) is None and T.keyword_terms(" ") == []
+
+
+def test_distinct_terms_and_frequency(spark, rows):
+    df = spark.createDataFrame([(1, "fire fire a"), (2, None)], "term int, txt string")
+    assert rows(T.distinct_terms(df, "txt", ["term"])) == [(1, "a", 1), (1, "fire", 1)]
+    assert [r[0] for r in df.select(T.term_frequency(T.simple_terms(F.col("txt")), "fire")).collect()] == [2, None]
+    assert len(T.stop_words()) == 127
