@@ -185,3 +185,17 @@ def test_long_texts_are_cut_safely(monkeypatch):
     for _ in range(200):
         t = "".join(r.choice(["a", "it's", " ", "  ", "\n", "1", "!", " x", "é"]) for _ in range(60))
         assert [i for p in split(t) for w in p for i in merge(w.encode())] == own.encode_ordinary(t)
+
+
+@needs_vocabulary
+def test_every_character_of_the_basic_plane():
+    tiktoken = pytest.importorskip("tiktoken")
+    from eventide.llm.bpe import PATTERN
+
+    with open(f"{VOCABULARIES}/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = ranks_of(f.read())
+    own, merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), Merger(ranks)
+    for c in range(0x10000):
+        if not 0xD800 <= c < 0xE000:
+            t = f"a{chr(c)}1 {chr(c)} {chr(c)}b"
+            assert [i for p in split(t) for w in p for i in merge(w.encode())] == own.encode_ordinary(t), hex(c)
