@@ -15,8 +15,8 @@ _UNKNOWN_BYTES = 1 << 60
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and give the session a checkpoint folder.
 
-    ``spark.checkpoint.dir`` of the session is used as it is; only where it is unset (tests) a
-    temporary folder is taken.
+    ``spark.checkpoint.dir`` of the session is used as it is; only where it is unset in local mode (tests) a
+    temporary folder is taken. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes old checkpoints itself.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
@@ -32,6 +32,8 @@ def work_folder(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(sc, "_eventide_folder", None)
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="eventide-")
             sc._eventide_folder = folder
     if sc.getCheckpointDir() is None:
