@@ -13,29 +13,25 @@ _UNKNOWN_BYTES = 1 << 60
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and give the session a checkpoint folder.
-
-    ``spark.checkpoint.dir`` of the session is used as it is; only where it is unset in local mode (tests) a
-    temporary folder is taken. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes old checkpoints itself.
-    """
+    """Let Python workers import this package."""
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(":"):
         sc.environment["PYTHONPATH"] = f"{_ROOT}:{known}" if known else _ROOT
-    work_folder(spark)
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables."""
+    """The shared folder for checkpoints and files.
+
+    ``spark.checkpoint.dir`` of the session, or the folder that the context was given; only where both are unset, in local
+    mode (tests), a temporary folder is taken. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes old checkpoints itself.
+    """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = getattr(sc, "_eventide_folder", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="eventide-")
-            sc._eventide_folder = folder
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="eventide-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -44,6 +40,7 @@ def work_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the shared checkpoint folder and cut its lineage."""
     prepare(df.sparkSession)
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
