@@ -3,6 +3,7 @@
 Edges are taken in ascending order. A node of the hierarchy needs only a size, and above the least cluster size the sum of the
 densities at which its members leave; so states merge in constant time. Where two clusters meet, both end and a wider one begins; smaller
 parts that join a cluster are members that leave it at that density. Of a cluster and those within it, whichever is more stable is kept.
+A linked group of two or more that never reaches the least size is one cluster, whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def condense(copies: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndar
     density = [1 / max(x, FINEST) for x in distance.tolist()]
     top, end = 1 / FINEST, 1 / max(furthest, FINEST)
     loose: list[list[int] | None] = [[k] for k in range(n)]
-    opened = [-1] * n
+    opened, joined = [-1] * n, [top] * n
     home, leaves = [-1] * n, [0.0] * n
     sums: list[float] = []
     sizes: list[int] = []
@@ -82,8 +83,13 @@ def condense(copies: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndar
             loose[x] = None
         else:
             loose[x] += loose[y]
+            joined[x] = at
         loose[y] = None
 
+    for k in range(n):
+        if above[k] == k and opened[k] < 0 and size[k] >= 2:
+            opened[k] = begin(loose[k], size[k], joined[k], [])
+
     value, chosen = [0.0] * len(sums), [False] * len(sums)
     for c in range(len(sums)):
         own, rest = sums[c] - sizes[c] * births[c], sum(value[k] for k in inner[c])
@@ -136,7 +142,7 @@ def _condensing(least: int, furthest: float):
 def clusters(records: DataFrame, least_cosine: float, *, least_size: int = 3, min_samples: int = 2) -> DataFrame:
     """``(lead, id, persistence)``: the most stable density clusters of vectors; ``lead`` is the smallest id of the cluster, or null for vectors in none.
 
-    A cluster has at least ``least_size`` vectors. ``persistence`` is the density (1 / distance) at which a vector leaves its cluster as the
+    A cluster has at least ``least_size`` vectors; a linked group of two or more, but fewer than that, is one cluster. ``persistence`` is the density (1 / distance) at which a vector leaves its cluster as the
     distance shrinks; those with the greatest are its most typical members. Every vector has a row. The vectors of one linked group are
     condensed by one task, with some 100 bytes for each different vector; equal ones are one node.
     """

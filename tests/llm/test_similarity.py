@@ -229,6 +229,22 @@ def test_clusters_described(spark):
     assert got[10][:2] == (3, 2) and got[0][:2] == (5, 5) and got[0][2] == [0, 1, 21]
 
 
+def test_small_groups_are_described(spark):
+    # a pair, a pair of equal vectors, a group of four and a vector alone
+    v = {1: {"a": 1.0, "b": 0.9}, 2: {"a": 1.0, "b": 1.1}, 5: {"c": 1.0}, 6: {"c": 2.0, "d": 0.1}, 7: {"e": 1.0}, 8: {"e": 1.0}, 9: {"f": 1.0}}
+    v |= {10 + i: {"q": 1.0, "r": 2.0, f"y{i}": 0.2} for i in range(4)}
+    df = spark.createDataFrame(rows_of(v), "id int, term string, weight double")
+    sizes = spark.createDataFrame([(i, i) for i in v], "id int, n int")
+    for least in (3, 4, 5):
+        members = clusters(vectors(df, "id", "term", "weight"), 0.7, least_size=least).cache()
+        assert {r["id"]: r["lead"] for r in members.collect()} == {1: 1, 2: 1, 5: 5, 6: 5, 7: 7, 8: 7, 9: None, 10: 10, 11: 10, 12: 10, 13: 10}
+        got = {r["lead"]: (r["members"], r["doc_count"], r["exemplars"]) for r in described(members, sizes, "id", "n").collect()}
+        assert got == {1: (2, 3, [1, 2]), 5: (2, 11, [5, 6]), 7: (2, 15, [7, 8]), 10: (4, 46, got[10][2])} and len(got[10][2]) == 3
+        kept = {r["id"]: r["persistence"] for r in members.collect()}
+        assert kept[1] == kept[2] == pytest.approx(1 / (1 - cosine(v[1], v[2])), rel=1e-4)
+        assert kept[7] == kept[8] == 1000
+
+
 @pytest.mark.parametrize("block", [20_000, 15])
 def test_spanning_join_links_the_same(spark, block):
     import eventide.llm.cells as cells
