@@ -353,11 +353,11 @@ def most_similar(spark: SparkSession, sf: str) -> DataFrame:
   t AS (SELECT *, sum(n) OVER (PARTITION BY start_timestamp, cell_x, cell_y) AS t FROM n),
   h AS (SELECT start_timestamp, cell_x, cell_y, sum(n / t * log2(t / n)) AS h, count(*) FILTER (rows_ >= 2) AS shared FROM t GROUP BY ALL)
   SELECT start_timestamp, cell_x, cell_y, docs, users, shared::INT AS shared_terms, round(h, 6) AS entropy FROM g JOIN h USING (start_timestamp, cell_x, cell_y) WHERE users >= 2 AND shared >= 3""")
-def candidate_events(spark: SparkSession, sf: str, users: int = 2, shared: int = 3) -> DataFrame:
-    """Flagship: documents with keywords, by day and grid cell, as candidates with users, shared terms and entropy."""
+def candidate_events(spark: SparkSession, sf: str, users: int = 2, shared: int = 3, cell: float = 20_000_000.0) -> DataFrame:
+    """Flagship: documents with keywords, by day and grid cell of ``cell`` metres, as candidates with users, shared terms and entropy."""
     d = load(spark, sf, "documents").filter("ts IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND abs(x) < double('infinity') AND abs(y) < double('infinity')")
     d = d.filter(eventtype.has_keyword(d, "text", KEYWORDS))
-    p, c = grid.time_partition(F.col("ts"), timedelta(hours=24)), grid.spatial_partition(F.col("x"), F.col("y"), 20_000_000.0)
+    p, c = grid.time_partition(F.col("ts"), timedelta(hours=24)), grid.spatial_partition(F.col("x"), F.col("y"), cell)
     d = d.select(p.alias("p"), c.alias("c"), "username", "text").select("p.start_timestamp", F.col("c.x").alias("cell_x"), F.col("c.y").alias("cell_y"), "username", "text")
     m = aggregates.group_metrics(d, ["start_timestamp", "cell_x", "cell_y"], "text", 2, "username")
     return m.filter((F.col("users") >= users) & (F.col("shared_terms") >= shared)).withColumn("entropy", F.round("entropy", 6))

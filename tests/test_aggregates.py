@@ -88,3 +88,30 @@ def test_counts_are_partial(spark):
     df = spark.createDataFrame([(1, "a b")], "g int, t string")
     plan = A.entropy(df, ["g"], "t")._jdf.queryExecution().toString()
     assert "partial_sum" in plan and "Python" not in plan
+
+
+def test_candidates_of_local_cells(spark, tmp_path):
+    from datetime import datetime
+
+    from eventide.plans.events import candidate_events
+
+    day, next_day = datetime(2024, 5, 1, 9), datetime(2024, 5, 2, 9)
+    data = [
+        (day, 100.0, 100.0, "a", "fire at mill"), (day, 900.0, 900.0, "b", "fire at mill"),  # a candidate
+        (day, 5100.0, 100.0, "a", "flood near river"), (day, 5900.0, 1.0, "c", "flood near river"),  # another, 5 km away
+        (day, 9100.0, 100.0, "d", "water over road"), (day, 9200.0, 100.0, "d", "water over road"),  # one user
+        (day, -100.0, 100.0, "a", "police here now"), (day, -200.0, 100.0, "b", "police here later"),  # two shared terms
+        (day, 3100.0, 100.0, "a", "nice calm sea"), (day, 3200.0, 100.0, "b", "nice calm sea"),  # no keyword
+        (next_day, 100.0, 100.0, "e", "fire at mill"),  # alone on its day
+        (day, None, 100.0, "e", "fire at mill"), (day, float("nan"), 100.0, "f", "fire at mill"),
+    ]
+    rows_ = [(k, *d) for k, d in enumerate(data)]
+    spark.createDataFrame(rows_, "doc_id long, ts timestamp_ntz, x double, y double, username string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def found(**more):
+        return sorted((r["start_timestamp"], r["cell_x"], r["cell_y"], r["docs"], r["users"], r["shared_terms"]) for r in candidate_events(spark, str(tmp_path), **more).collect())
+
+    midnight = datetime(2024, 5, 1)
+    assert found(cell=1000.0) == [(midnight, 0, 0, 2, 2, 3), (midnight, 5, 0, 2, 2, 3)]
+    # wide cells take both, and the documents of one user, for one event
+    assert found(cell=20_000_000.0) == [(midnight, 0, 0, 6, 4, 9)]
