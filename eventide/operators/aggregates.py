@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pandas as pd
@@ -64,20 +65,25 @@ def group_metrics(df: DataFrame, keys: list[str], col: str, minimum: int = 2, us
     return merged.withColumn("shared_terms", F.col("shared_terms").cast("int")).toDF(*keys, *names)
 
 
+def terms_in(value) -> list[str]:
+    """Terms of a value that SQL hands over: a text's own, or an array's without nulls."""
+    return re.findall("[0-9a-z]+", value.lower()) if isinstance(value, str) else [w for w in value if w is not None]
+
+
 def entropy_of(rows) -> float:
-    counts = Counter(w for r in rows if r is not None for w in r if w is not None)
+    counts = Counter(w for r in rows if r is not None for w in terms_in(r))
     total = sum(counts.values())
     return sum(n / total * math.log2(total / n) for n in counts.values()) if len(counts) > 1 else 0.0
 
 
 def shared_of(rows, minimum: int | None) -> int:
-    counts = Counter(w for r in rows if r is not None for w in {x for x in r if x is not None})
+    counts = Counter(w for r in rows if r is not None for w in set(terms_in(r)))
     return 0 if minimum is None else sum(n >= minimum for n in counts.values())
 
 
 @F.pandas_udf(T.DoubleType())
 def entropy_udaf(terms: pd.Series) -> float:
-    """Grouped aggregate for SQL over an array of terms; it holds a group in one task, the DataFrame form doesn't."""
+    """Grouped aggregate for SQL over texts or arrays of terms; it holds a group in one task, the DataFrame form doesn't."""
     return entropy_of(terms)
 
 

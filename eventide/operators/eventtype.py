@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,22 +101,27 @@ class EventTypeModel:
         spark = df.sparkSession
         held = spark.sparkContext.broadcast(weights)  # bounded by LITERAL_TERMS
 
-        @F.pandas_udf("double")
-        def scored(rows):
+        @F.arrow_udf("double")
+        def scored(lists: pa.Array) -> pa.Array:
             w = held.value
-            bias = w.get("", 0.0)
-            return rows.map(lambda r: None if r is None else math.fsum([w.get(t, 0.0) for t in r]) + bias)
+            code = pc.dictionary_encode(lists.flatten())
+            known = np.array([w.get(t, 0.0) for t in code.dictionary.to_pylist()] + [0.0])
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            total = np.bincount(np.repeat(np.arange(len(size)), size), known[code.indices.to_numpy(zero_copy_only=False)], minlength=len(size))
+            return pa.array(total + w.get("", 0.0), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
         return scored(words)
 
     @staticmethod
     def _by_join(df: DataFrame, words: Column, model: DataFrame, hit: Column | None, out: str, score: str | None) -> DataFrame:
-        rows = df.withColumns({"__row": F.monotonically_increasing_id(), "__hit": F.lit(True) if hit is None else hit, "__w": words})
-        rows = runtime.cut(rows)
+        """Sums by join, for each distinct set of terms; rows find theirs by a 128-bit key of the set, so only terms and keys move twice."""
+        keyed = df.withColumns({"__hit": F.lit(True) if hit is None else hit, "__w": F.array_sort(words)})
+        keyed = keyed.withColumns({"__k": F.xxhash64("__w"), "__l": F.xxhash64(F.lit(1), "__w")})
         bias = model.filter("term = ''").select("weight").scalar()
-        hits = rows.filter("__hit").select("__row", F.explode("__w").alias("term")).join(model.filter("term <> ''").select("term", "weight"), "term")
-        sums = hits.groupBy("__row").agg(F.sum("weight").alias("__s"))
-        got = rows.join(sums, "__row", "left")
+        sets = keyed.filter("__hit").select("__k", "__l", "__w").groupBy("__k", "__l").agg(F.first("__w").alias("__w"))
+        hits = sets.select("__k", "__l", F.explode("__w").alias("term")).join(model.filter("term <> ''").select("term", "weight"), "term")
+        sums = hits.groupBy("__k", "__l").agg(F.sum("weight").alias("__s"))
+        got = keyed.join(sums, ["__k", "__l"], "left")
         total = F.when(F.col("__w").isNotNull(), F.coalesce("__s", F.lit(0.0)) + bias)
         verdict = F.when(F.col("__hit").isNull(), F.lit(None).cast("boolean")).when(F.col("__hit"), total > 0).otherwise(False)
-        return got.withColumns({**({score: total} if score else {}), out: verdict}).drop("__row", "__hit", "__w", "__s")
+        return got.select(*(F.col(c) for c in df.columns if c not in (score, out)), *([total.alias(score)] if score else []), verdict.alias(out))

@@ -18,15 +18,15 @@ _INT = 2**31
 def check_period(length: timedelta | None, shift: timedelta | None) -> None:
     """Raises ValueError for a length or shift that periods can't have."""
     if length is None:
-        raise ValueError("interval length must not be null")
+        raise ValueError("a period needs a length")
     if not timedelta(minutes=1) <= length <= timedelta(hours=24):
-        raise ValueError("interval length must be between 1 minute and 24 hours")
+        raise ValueError("a period lasts from one minute to one day")
     if length < timedelta(hours=1) and length not in [timedelta(minutes=m) for m in PERIODS]:
-        raise ValueError(f"interval length in minutes must be one of {[m for m in PERIODS if m <= 60]}")
+        raise ValueError(f"this number of minutes does not divide an hour; allowed are {[m for m in PERIODS if m <= 60]}")
     if length not in [timedelta(minutes=m) for m in PERIODS]:
-        raise ValueError(f"interval length in hours must be one of {[m // 60 for m in PERIODS if m >= 60]}")
+        raise ValueError(f"this number of hours does not divide a day; allowed are {[m // 60 for m in PERIODS if m >= 60]}")
     if shift is not None and abs(shift) >= length:
-        raise ValueError("shift must be shorter than the interval length")
+        raise ValueError("the shift must be shorter than the period")
 
 
 def time_partition(ts: Column, length: timedelta, shift: timedelta | None = None) -> Column:

@@ -43,7 +43,10 @@ def stem(word: str) -> str:
     if word in _WHOLE:
         return _WHOLE[word]
     word = word.removeprefix("'")
-    word = "".join("Y" if c == "y" and (i == 0 or word[i - 1] in _VOWELS) else c for i, c in enumerate(word))
+    marked = ""
+    for c in word:  # a y that begins a word or follows a vowel is a consonant
+        marked += "Y" if c == "y" and (not marked or marked[-1] in _VOWELS) else c
+    word = marked
     r1 = next((len(s) for s in _STARTS if word.startswith(s)), None)
     r1 = _region(word, 0) if r1 is None else r1
     r2 = _region(word, r1)

@@ -19,9 +19,9 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, config: str = "simple", sav
     but each counts in N. Null terms in an array are dropped. The table is saved under ``save_as`` if given.
     """
     words = F.array_compact(terms_of(F.col(text_col), dict(df.dtypes)[text_col], config))
-    docs = df.select(F.col(id_col).alias("id"), words.alias("w"))
-    tc = docs.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tc"))
-    size = docs.groupBy("id").agg(F.sum(F.size("w").cast("bigint")).alias("size"))
+    # texts are taken apart once: lengths and document frequencies come from the counted terms
+    tc = df.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tc"))
+    size = tc.groupBy("id").agg(F.sum("tc").alias("size"))
     dfs = tc.groupBy("term").agg(F.count("*").alias("df"))
     n = df.agg(F.count("*").cast("double").alias("n")).scalar()
     out = tc.join(size, "id").join(dfs, "term").select(F.col("id").alias(id_col), "term", (F.col("tc") / F.col("size") * F.log10(n / F.col("df"))).alias("weight"))
@@ -65,6 +65,10 @@ class TfIdfModel:
         both = self.frequencies.unionByName(more).groupBy("term").agg(F.sum("document_count").alias("document_count"))
         return TfIdfModel(both, self.total + counts.select(id_col).distinct().count())
 
+    def listed(self) -> DataFrame:
+        """``(term, document_count)``, the most frequent first; ties by term."""
+        return self.frequencies.select("term", "document_count").orderBy(F.desc("document_count"), "term")
+
     def df_of(self, term: str) -> int:
         """Documents with the term."""
         row = self.frequencies.filter(F.col("term") == term).first()

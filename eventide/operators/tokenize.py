@@ -8,10 +8,11 @@ stop words, stemmed.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,14 @@ def simple_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(lists: pa.Array) -> pa.Array:
+    """Stems of lists of words; a batch stems each of its distinct words once."""
+    code = pc.dictionary_encode(lists.flatten())
+    stems = pa.array([None if w is None else stem(w) for w in code.dictionary.to_pylist()], pa.string())
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), stems.take(code.indices), mask=lists.is_null() if lists.null_count else None)
 
 
 def terms(text: Column, config: str = "simple") -> Column:
@@ -46,7 +51,7 @@ def terms(text: Column, config: str = "simple") -> Column:
     words = simple_terms(text)
     if config == "simple":
         return words
-    return _stemmed(F.filter(words, lambda w: ~w.isin(*sorted(stop_words()))))
+    return stemmed(F.filter(words, lambda w: ~w.isin(*sorted(stop_words()))))
 
 
 def terms_of(c: Column, kind: str, config: str) -> Column:
@@ -115,8 +120,11 @@ def term_frequency(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def tokenize(text: str | list | dict | None, output: str = "dict", config: str = "english"):
-    """Term counts of one text on the driver: a dict, or a list of (term, count). Also takes a list of terms, of (term, count) or a dict."""
+def tokenize(text: str | list | dict | None, output: str = "dict", config: str = "english", dropped: frozenset[str] | None = None):
+    """Term counts of one text on the driver: a dict, or a list of (term, count). Also takes a list of terms, of (term, count) or a dict.
+
+    ``dropped`` are the stop words of "english" where no session can be asked for them.
+    """
     if output not in ("dict", "list"):
         raise ValueError("output is 'dict' or 'list'")
     if isinstance(text, dict):
@@ -129,5 +137,28 @@ def tokenize(text: str | list | dict | None, output: str = "dict", config: str =
         import re
 
         words = [w for w in re.split("[^0-9a-z]+", (text or "").lower()) if w]
-        counts = Counter(stem(w) for w in words if w not in stop_words()) if config == "english" else Counter(words)
+        dropped = stop_words() if config == "english" and dropped is None else dropped
+        counts = Counter(stem(w) for w in words if w not in dropped) if config == "english" else Counter(words)
     return dict(counts) if output == "dict" else sorted(counts.items())
+
+
+def tokenizer_differences(df: DataFrame, id_col: str, text_col: str, config: str = "english") -> DataFrame:
+    """``(id, term, table_count, driver_count)``: where the distributed tokenizer and the one of the driver disagree; no rows mean they agree.
+
+    Both count the terms of each row's text; a term that one of them hasn't counts 0 there. Null and empty texts have no terms. Rows of equal ids
+    are counted together.
+    """
+    from .. import runtime
+
+    runtime.prepare(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    dropped = stop_words()
+
+    @F.arrow_udf("array<struct<term:string,n:int>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"term": t, "n": n} for t, n in tokenize(v, "list", config, dropped)] for v in texts.to_pylist()], pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())])))
+
+    ours = rows.select("id", F.explode(terms(F.col("text"), config)).alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    theirs = rows.select("id", F.explode(counted("text")).alias("t")).select("id", "t.term", F.lit(0).alias("a"), F.col("t.n").alias("b"))
+    both = ours.unionByName(theirs).groupBy("id", "term").agg(F.sum("a").alias("table_count"), F.sum("b").alias("driver_count"))
+    return both.filter("table_count <> driver_count").withColumnRenamed("id", id_col)

@@ -45,13 +45,20 @@ p AS (SELECT id, r,
         CASE WHEN inside THEN y WHEN srid = '4326' THEN 6378137 * ln(tan(pi() / 4 + radians(b) / 2)) ELSE b END AS y FROM d),
 l AS (SELECT * FROM p WHERE isfinite(x) AND isfinite(y))
 """
-#: Pairs are looked for in a grid of 250 m, the greatest cell length of the data.
+_EDGES = ", ".join(f"({r}, {x1!r}, {y1!r}, {x2!r}, {y2!r})" for r, xs, ys in OUTLINES for x1, y1, x2, y2 in zip(xs, ys, xs[1:] + xs[:1], ys[1:] + ys[:1]))
+#: Pairs are looked for in a grid of the greatest cell length; a point is inside where the edges at or below it are odd.
 ORACLES: dict[str, str] = {
     "p1_found": _PLACES
     + """,
-c AS (SELECT *, floor(x / 250)::BIGINT AS cx, floor(y / 250)::BIGINT AS cy FROM l),
+c AS (SELECT *, floor(x / g)::BIGINT AS cx, floor(y / g)::BIGINT AS cy FROM l, (SELECT max(r) AS g FROM l)),
 n AS (SELECT id, x, y, r, cx + dx AS cx, cy + dy AS cy FROM c, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy))
 SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM c a JOIN n b USING (cx, cy)
 WHERE a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= least(a.r, b.r) ** 2
-"""
+""",
+    "p1_regions": _PLACES.replace("WHERE isfinite(cell_length) AND cell_length > 0", "")
+    + f""",
+e(region, x1, y1, x2, y2) AS (VALUES {_EDGES}),
+h AS (SELECT DISTINCT id, region, x, y, x1, y1, x2, y2 FROM l JOIN e ON least(x1, x2) <= x AND x < greatest(x1, x2) AND y1 + (x - x1) * (y2 - y1) / (x2 - x1) <= y)
+SELECT DISTINCT id, region FROM (SELECT id, region FROM h GROUP BY id, region, x, y HAVING count(*) % 2 = 1)
+""",
 }

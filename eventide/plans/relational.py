@@ -40,4 +40,12 @@ _add("rel_except", "SELECT o_custkey AS k FROM orders EXCEPT SELECT s_suppkey FR
 _add("rel_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey FROM supplier")
 _add("rel_recursive", "WITH RECURSIVE s(k, step) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT k + n.n_nationkey, step + 1 FROM s JOIN nation n ON n.n_nationkey = s.step + 1 WHERE step < 10) SELECT k, step FROM s")
 _add("rel_lateral", "SELECT user_id, t.k AS k, t.v AS v FROM (SELECT user_id, count(*) AS n, max(value) AS m FROM events GROUP BY user_id) e, LATERAL (SELECT 'n' AS k, CAST(e.n AS DOUBLE) AS v UNION ALL SELECT 'm', e.m) t")
-_add("rel_range_join", "SELECT a.lo AS lo, count(*) AS n FROM (SELECT DISTINCT CAST(floor(p_retailprice / 100) * 100 AS DOUBLE) AS lo FROM part) a JOIN part ON p_retailprice >= a.lo AND p_retailprice < a.lo + 100 GROUP BY a.lo")
+# a range join by bins: each range goes to the bins that it touches, so the join is by equality and the bounds are checked within a bin
+_BINNED = """SELECT a.lo AS lo, a.hi AS hi, count(*) AS n
+FROM (SELECT lo, hi, {bin} AS bin FROM (SELECT DISTINCT CAST(floor(p_retailprice / 130) * 130 AS DOUBLE) AS lo, CAST(floor(p_retailprice / 130) * 130 + 250 AS DOUBLE) AS hi FROM part) r) a
+JOIN (SELECT p_retailprice, CAST(floor(p_retailprice / 100) AS BIGINT) AS bin FROM part) b ON a.bin = b.bin AND p_retailprice >= a.lo AND p_retailprice < a.hi GROUP BY a.lo, a.hi"""
+_add(
+    "rel_range_join",
+    _BINNED.format(bin="explode(sequence(CAST(floor(lo / 100) AS BIGINT), CAST(floor(hi / 100) AS BIGINT)))"),
+    "SELECT a.lo AS lo, a.hi AS hi, count(*) AS n FROM (SELECT DISTINCT CAST(floor(p_retailprice / 130) * 130 AS DOUBLE) AS lo, CAST(floor(p_retailprice / 130) * 130 + 250 AS DOUBLE) AS hi FROM part) a JOIN part ON p_retailprice >= a.lo AND p_retailprice < a.hi GROUP BY a.lo, a.hi",
+)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +26,16 @@ def work_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints and files.
 
     ``spark.checkpoint.dir`` of the session, or the folder that the context was given; only where both are unset, in local
-    mode (tests), a temporary folder is taken. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes old checkpoints itself.
+    mode (tests), a temporary folder is taken, and removed at exit. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes old checkpoints itself.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="eventide-")
+        path = tempfile.mkdtemp(prefix="eventide-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        folder = "file://" + path
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder

@@ -51,6 +51,12 @@ def jdbc(spark: SparkSession, url: str, table: str, split_by: str | None = None,
     return reader.load()
 
 
+def save_jdbc(df: DataFrame, url: str, table: str, overwrite: bool = False, parts: int = 8, batch: int = 10_000, **options: str) -> None:
+    """Load rows into a table of a database in bulk, ``parts`` connections with batches of ``batch`` rows; an existing table without ``overwrite`` raises."""
+    writer = df.write.format("jdbc").options(url=url, dbtable=table, numPartitions=str(parts), batchsize=str(batch), **options)
+    writer.mode("overwrite" if overwrite else "errorifexists").save()
+
+
 def save_files(df: DataFrame, path: str, kind: str = "csv", overwrite: bool = False) -> None:
     """Write "csv" (with a header), "json" or "parquet" files."""
     if kind not in ("csv", "json", "parquet"):

@@ -51,23 +51,24 @@ def test_good_lengths():
     G.check_period(M(15), M(-10))
 
 
-def test_bad_period_in_sql(spark):
+@pytest.mark.parametrize("args, said", [("NULL", "needs a length"), ("INTERVAL '90' MINUTE", "hours does not divide"), ("INTERVAL '7' MINUTE", "minutes does not divide"), ("INTERVAL '20' SECOND", "from one minute"), ("INTERVAL '15' MINUTE, INTERVAL '-15' MINUTE", "shorter than the period")])
+def test_bad_period_in_sql(spark, args, said):
     register(spark)
-    with pytest.raises(PySparkException, match="not allowed"):
-        spark.sql("SELECT time_partition(TIMESTAMP_NTZ '2025-01-01 00:00:00', INTERVAL '90' MINUTE)").collect()
+    with pytest.raises(PySparkException, match=said):
+        spark.sql(f"SELECT time_partition(TIMESTAMP_NTZ '2025-01-01 00:00:00', {args})").collect()
 
 
 @pytest.mark.parametrize(
     "x, y, cell, shift, want",
     [
         (1500.0, -200.0, 1000, (0, 0), (1, -1)),
-        (4433432.30, 2442329.09, 1000, (0, 0), (4433, 2442)),
-        (4433432.30, 2442329.09, 1000, (500, 500), (4432, 2441)),
-        (4433432.30, 2442329.09, 1000, (-500, -500), (4433, 2442)),
-        (-5191324.26, -2698929.26, 100000, (0, 0), (-52, -27)),
-        (5195870.62, 2840607.62, 500000, (0, 0), (10, 5)),
-        (4433432.30, 2442329.09, 1500.5, (None, None), (2954, 1627)),
-        (4433432.30, 2442329.09, 1e12, (0, 0), (0, 0)),
+        (4812345.25, 2210987.75, 1000, (0, 0), (4812, 2210)),
+        (4812345.25, 2210987.75, 1000, (500, 500), (4811, 2210)),
+        (4812345.25, 2210987.75, 1000, (-500, -500), (4812, 2211)),
+        (-3141592.65, -1618033.99, 100000, (0, 0), (-32, -17)),
+        (6712345.67, 3345678.91, 500000, (0, 0), (13, 6)),
+        (4812345.25, 2210987.75, 1500.5, (None, None), (3207, 1473)),
+        (4812345.25, 2210987.75, 1e12, (0, 0), (0, 0)),
         (None, 5.0, 10, (0, 0), (None, 0)),
     ],
 )

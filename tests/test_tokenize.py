@@ -54,3 +54,19 @@ def test_distinct_terms_and_frequency(spark, rows):
     assert rows(T.distinct_terms(df, "txt", ["term"])) == [(1, "a", 1), (1, "fire", 1)]
     assert [r[0] for r in df.select(T.term_frequency(T.simple_terms(F.col("txt")), "fire")).collect()] == [2, None]
     assert len(T.stop_words()) == 127
+
+
+def test_tokenizers_agree(spark):
+    from eventide.operators import tokenize as T
+
+    texts = [(1, "Running runners ran, the DAYS!"), (2, None), (3, ""), (4, "naïve naïve 3ds"), (4, "skies skies")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for config in T.CONFIGS:
+        assert T.tokenizer_differences(df, "id", "text", config).count() == 0
+
+
+def test_stems_of_batches(spark):
+    from eventide.operators import tokenize as T
+
+    df = spark.createDataFrame([(["running", None, "ran"],), (None,), ([],), (["running"],)], "w array<string>")
+    assert [r[0] for r in df.select(T.stemmed("w")).collect()] == [["run", None, "ran"], None, [], ["run"]]
