@@ -40,26 +40,28 @@ def words(text: str) -> Iterator[list[str]]:
 
 @dataclass
 class Items:
-    """Item texts as word codes; ``codes`` ends in a word that no text has."""
+    """Item texts as word codes; ``codes`` ends in a word that no text has. ``starts`` are the places with ``least`` words or more ``left``, ``first`` those where an item begins."""
 
     vocabulary: dict[str, int]
     codes: np.ndarray
     item: np.ndarray
     starts: np.ndarray
     left: np.ndarray
+    first: np.ndarray
 
     @staticmethod
     def of(rows: list[tuple[int, str]], least: int) -> "Items":
         vocabulary: dict[str, int] = {}
-        codes, item, left = [], [], []
+        codes, item, left, first = [], [], [], []
         for i, text in rows:
             own = [vocabulary.setdefault(w, len(vocabulary)) for part in words(text) for w in part]
             if len(own) >= least:
                 codes += own
                 item += [i] * len(own)
                 left += range(len(own), 0, -1)
+                first += [True] + [False] * (len(own) - 1)
         left_ = np.asarray(left, np.int64)
-        return Items(vocabulary, np.append(np.asarray(codes, np.int64), -2), np.append(np.asarray(item, np.int64), 0), np.flatnonzero(left_ >= least), np.append(left_, 0))
+        return Items(vocabulary, np.append(np.asarray(codes, np.int64), -2), np.append(np.asarray(item, np.int64), 0), np.flatnonzero(left_ >= least), np.append(left_, 0), np.append(np.asarray(first, bool), True))
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -104,37 +106,66 @@ def _bound(codes: np.ndarray, order: np.ndarray, items: Items, least: int, upper
 
 
 def search(codes: np.ndarray, text: np.ndarray, place: np.ndarray, items: Items, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, item, words, place in text) of matches of at least ``least`` words; several of one pair may come.
+    """(text, item, words, place in text) of matches of at least ``least`` words, in portions; several of one pair may come.
 
-    ``codes`` ends in -1; ``text`` and ``place`` tell where each code stands.
+    ``codes`` ends in -1; ``text`` and ``place`` tell where each code stands. A match that goes on to the left is a part of a longer one and is left
+    out, so a passage is extended once for each place where it begins, not once for each of its words.
     """
     order = suffix_array(codes, least)
     low, high = (_bound(codes, order, items, least, u) for u in (False, True))
     hit = np.flatnonzero(high > low)
-    n = (high - low)[hit]
-    total = np.cumsum(n)
-    for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(total // AT_ONCE)) + 1):
-        for lo in range(0, int(n[part].max()) if len(part) else 0, AT_ONCE):  # a passage in very many texts
-            own = np.clip(n[part] - lo, 0, AT_ONCE)
-            q = np.repeat(hit[part], own)
-            s = order[np.repeat(low[hit[part]] + lo - np.cumsum(own) + own, own) + np.arange(own.sum())]
-            start = items.starts[q]
-            length = np.full(len(q), least)
-            on = np.arange(len(q))
-            while len(on):
-                k = length[on]
-                on = on[(k < items.left[start[on]]) & (codes[np.minimum(s[on] + k, len(codes) - 1)] == items.codes[start[on] + k])]
-                length[on] += 1
+    before = np.append(-1, codes[:-1])  # the word before each place, below 0 at the begin of a stretch
+    ahead = np.where(items.first[items.starts], -3, items.codes[items.starts - 1])
+    for q, lo, hi in _portions(hit, low[hit], high[hit]):
+        s = order[np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange((hi - lo).sum())]
+        q = np.repeat(q, hi - lo)
+        starts = before[s] != ahead[q]
+        s, q = s[starts], q[starts]
+        start = items.starts[q]
+        length = np.full(len(q), least)
+        on = np.arange(len(q))
+        while len(on):
+            k = length[on]
+            on = on[(k < items.left[start[on]]) & (codes[np.minimum(s[on] + k, len(codes) - 1)] == items.codes[start[on] + k])]
+            length[on] += 1
+        if len(q):
             yield text[s], items.item[start], length, place[s]
 
 
-def _longest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """The longest match of each (text, item), the first of equal ones."""
-    text, item, n, place = (np.concatenate([f[k] for f in found]) for k in range(4))
-    order = np.lexsort((place, -n, item, text))
-    t, i = text[order], item[order]
-    first = order[np.append(True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]))]
-    return text[first], item[first], n[first], place[first]
+def _portions(query: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ranges [low, high) of the queries, cut so that no portion has more than ``AT_ONCE`` places."""
+    n = high - low
+    for big in np.flatnonzero(n > AT_ONCE):  # a passage in very many texts
+        for at in range(int(low[big]), int(high[big]), AT_ONCE):
+            yield query[big : big + 1], np.array([at]), np.array([min(at + AT_ONCE, int(high[big]))])
+    rest = np.flatnonzero(n <= AT_ONCE)
+    if len(rest):
+        for part in np.split(rest, np.flatnonzero(np.diff(np.cumsum(n[rest]) // AT_ONCE)) + 1):
+            yield query[part], low[part], high[part]
+
+
+class Longest:
+    """The longest match of each (text, item), the first of equal ones; matches are folded in as they come."""
+
+    def __init__(self):
+        self.best: tuple[np.ndarray, ...] | None = None
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, found: tuple[np.ndarray, ...]) -> None:
+        self.new.append(found)
+        self.held += len(found[0])
+        if self.held >= 2 * AT_ONCE:
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, ...] | None:
+        if self.new:
+            text, item, n, place = (np.concatenate(c) for c in zip(*([self.best] if self.best else []), *self.new))
+            order = np.lexsort((place, -n, item, text))
+            t, i = text[order], item[order]
+            first = order[np.append(True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]))]
+            self.best, self.new, self.held = (text[first], item[first], n[first], place[first]), [], 0
+        return self.best
 
 
 def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, *, least: int = 13) -> DataFrame:
@@ -180,9 +211,11 @@ def _searching(held, least: int):
                         ids.append(np.full(b - a + 1, i))
                         places.append(np.arange(a, b + 1))
             if codes:
-                found = list(search(np.concatenate(codes), np.concatenate(ids), np.concatenate(places), items, least))
-                if found:
-                    t, i, n, p = _longest(found)
+                longest = Longest()
+                for found in search(np.concatenate(codes), np.concatenate(ids), np.concatenate(places), items, least):
+                    longest.add(found)
+                if longest.result():
+                    t, i, n, p = longest.best
                     yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(i), pa.array(n.astype(np.int32)), pa.array(p)], names=["id", "item", "words", "at"])
 
         code = items.vocabulary.get

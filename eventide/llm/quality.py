@@ -1,8 +1,9 @@
 """Per-document text statistics, and the documents that are not natural prose.
 
-Texts up to a chunk's length are counted where they are. Longer ones are cut into chunks that spread over the cluster; each
-chunk gives counts and the state of its open ends (the word and the line that may go on in its neighbours), and
-these are merged in order by a tree of fixed fan-in. The merge is associative, so any cutting gives the same counts.
+Every text is cut into chunks of code points. A chunk gives counts and the state of its open ends (the word and the line that may go on in its
+neighbours), and the states of a text are merged in order by a tree of fixed fan-in, whose root is closed. The merge is associative, so any cutting
+gives the same counts. A text is one value of one row, so the task that reads it has it whole: states are made and merged there, chunks bound
+the memory that counting takes, and nothing moves between tasks.
 """
 
 from __future__ import annotations
@@ -10,19 +11,18 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
 
-#: Code points of a chunk, and chunks or merged states that one merge takes.
-CHUNK, FAN = 1 << 17, 256
+#: Code points of a chunk, states that one merge takes, and texts whose chunks are counted together.
+CHUNK, FAN, TOGETHER = 1 << 12, 16, 1000
 #: White space, and the marks that end a line of prose (fixed values).
 WHITE, ENDS = " \t\r\n", ".!?…"
 _IS_WHITE, _IS_WORD, _IS_END, _IS_LF = 1, 2, 4, 8
@@ -176,18 +176,21 @@ class State:
         lines = [self.head_line, self.tail_line] if self.feed else [self.head_line]
         return (self.solid, self.symbols, self.words, self.common + sum(p.core.lower() in common for p in pieces), self.lines + sum(x > 0 for x in lines), self.marked + sum(x == 2 for x in lines))
 
-    def flat(self) -> tuple:
-        return (*astuple(self)[:8], self.head.lead, self.head.core, self.head.tail, self.tail.lead, self.tail.core, self.tail.tail, self.head_line, self.tail_line)
 
-    @staticmethod
-    def unflat(v: tuple) -> "State":
-        return State(*v[:8], Piece(*v[8:11]), Piece(*v[11:14]), *v[14:])
+def merged(states: list[State], common: frozenset[str], longest: int) -> State:
+    """The state of a text from those of its chunks, by a tree of fan-in ``FAN``."""
+    while len(states) > 1:
+        above = []
+        for lo in range(0, len(states), FAN):
+            got = states[lo]
+            for s in states[lo + 1 : lo + FAN]:
+                got = got.then(s, common, longest)
+            above.append(got)
+        states = above
+    return states[0]
 
 
 _COUNTS = ["solid", "symbols", "words", "common", "lines", "marked"]
-_FLAT = "solid bigint, symbols bigint, words bigint, common bigint, lines bigint, marked bigint, white boolean, feed boolean, h1 string, h2 string, h3 string, t1 string, t2 string, t3 string, head_line int, tail_line int"
-_FLAT_NAMES = [f.split()[0] for f in _FLAT.split(", ")]
-_FLAT_TYPES = [{"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "int": pa.int32()}[f.split()[1]] for f in _FLAT.split(", ")]
 
 
 def quality(documents: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str, *, chunk: int = CHUNK, most_words: int = 1_000_000) -> DataFrame:
@@ -205,54 +208,20 @@ def quality(documents: DataFrame, id_col: str, text_col: str, common_words: Data
     longest = max(map(len, common), default=0)
     kind = dict(documents.dtypes)[id_col]
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    long = F.coalesce(F.octet_length("text"), F.lit(0)) > 4 * chunk
-    head = f"id {kind}, " + ", ".join(f"{c} bigint" for c in _COUNTS)
 
-    def short(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for lo in range(0, len(whole), 1000):
-                batch = whole.slice(lo, 1000)
-                n = counts([_text(v) for v in batch.column("text").cast(pa.binary()).to_pylist()], common, longest)
+            for lo in range(0, len(whole), TOGETHER):
+                batch = whole.slice(lo, TOGETHER)
+                texts = [_text(v) for v in batch.column("text").cast(pa.binary()).to_pylist()]
+                # the state of a text of one chunk is closed at once: its counts are those of the chunk
+                n = counts([t if len(t) <= chunk else "" for t in texts], common, longest)
+                for k, t in enumerate(texts):
+                    if len(t) > chunk:
+                        n[k] = merged([State.of(t[at : at + chunk], common, longest) for at in range(0, len(t), chunk)], common, longest).closed(common)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(n[:, k]) for k in range(6))], names=["id", *_COUNTS])
 
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for k in range(len(batch)):
-                text = _text(batch.column("text")[k].cast(pa.binary()).as_py())
-                for part, lo in enumerate(range(0, len(text), chunk)):
-                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(k, 1), batch.column("id").slice(k, 1), pa.array([part], pa.int64()), pa.array([text[lo : lo + chunk]])], names=["row", "id", "part", "text"])
-
-    def state(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            flat = [State.of(_text(t), common, longest).flat() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            if flat:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("part"), *(pa.array(list(c), t) for c, t in zip(zip(*flat), _FLAT_TYPES))], names=["row", "id", "part", *_FLAT_NAMES])
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        got = None
-        for v in group[_FLAT_NAMES].itertuples(index=False, name=None):
-            s = State.unflat(v)
-            got = s if got is None else got.then(s, common, longest)
-        first = group.iloc[:1]
-        return pd.DataFrame([got.flat()], columns=_FLAT_NAMES).assign(row=first["row"].iloc[0], id=first["id"].iloc[0], part=first["part"].iloc[0] // FAN)
-
-    def close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows_ = list(zip(*(batch.column(c).to_pylist() for c in _FLAT_NAMES)))
-            if rows_:
-                done = [State.unflat(v).closed(common) for v in rows_]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), pa.int64()) for c in zip(*done))], names=["id", *_COUNTS])
-
-    brief = rows.filter(~long).mapInArrow(short, head)
-    shape = f"row bigint, id {kind}, part bigint, {_FLAT}"
-    parts = rows.filter(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, f"row bigint, id {kind}, part bigint, text string")
-    tree = parts.repartition("row", "part").mapInArrow(state, shape)
-    most = (1 << 31) // chunk
-    while most > 1:
-        tree = tree.groupBy("row", (F.col("part") / FAN).cast("bigint").alias("up")).applyInPandas(merge, shape)
-        most = -(-most // FAN)
-    n = brief.unionByName(tree.mapInArrow(close, head))
+    n = rows.mapInArrow(counted, f"id {kind}, " + ", ".join(f"{c} bigint" for c in _COUNTS))
     share = lambda a, b: F.when(F.col("words") > 0, F.col(a) / F.col(b))
     return n.select(F.col("id").alias(id_col), "words", share("solid", "words").alias("mean_word_length"), share("symbols", "solid").alias("symbol_ratio"), share("marked", "lines").alias("punctuated_share"), share("common", "words").alias("common_share"))
 

@@ -52,16 +52,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "df_tbl").filter("df >= 1").filter(F.length(F.translate("term", " \t\r\n", "")) > 0)
-    return frequencies(rows, "batch_id", "term", "df", _clean_term).select(F.col("value").alias("term"), F.col("occurrences").alias("df"), F.col("entries").alias("entries"))
+    return frequencies(rows, "batch_id", "term", "df", _clean_term).select(F.col("value").alias("term"), F.col("occurrences").alias("df"), "records")
 
 
 _P5 = """
 WITH clean AS (
   SELECT DISTINCT batch_id, term, df FROM df_tbl
   WHERE df >= 1 AND trim(term, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
-total AS (SELECT lower(trim(term)) AS term, sum(df)::BIGINT AS df, count(*) AS entries FROM clean GROUP BY 1)
+total AS (SELECT lower(trim(term)) AS term, sum(df)::BIGINT AS df, count(DISTINCT batch_id) + max((batch_id IS NULL)::INT) AS records FROM clean GROUP BY 1)
 """
-ORACLES["p5_terms"] = _P5 + "SELECT term, df, entries FROM total"
+ORACLES["p5_terms"] = _P5 + "SELECT term, df, records FROM total"
 ORACLES["p5_found"] = (
     _P5
     + """
@@ -185,10 +185,18 @@ WHERE words > 0 AND (mean_word_length < 3.5 OR mean_word_length > 8.5)::INT + (s
 _P8 = """
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
 v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items WHERE item_id IS NOT NULL),
-a AS (SELECT doc_id, array_to_string(ws[k : k + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w)),
-b AS (SELECT item_id, array_to_string(ws[k : k + 12], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM v)),
+a AS (SELECT doc_id, k, array_to_string(ws[k : k + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w)),
+b AS (SELECT item_id, k, array_to_string(ws[k : k + 12], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM v)),
 f AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s))
 """
+ORACLES["p8_leaks"] = (
+    _P8
+    + """, m AS (SELECT doc_id, item_id, a.k AS k, a.k - b.k AS diagonal FROM a JOIN b USING (s)),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY k) AS island FROM m),
+r AS (SELECT doc_id, item_id, (count(*) + 12)::INT AS words, (min(k) - 1)::BIGINT AS "at" FROM g GROUP BY doc_id, item_id, diagonal, island)
+SELECT doc_id, item_id, words, "at" FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, "at") = 1
+"""
+)
 ORACLES["p8_found"] = _P8 + "SELECT doc_id, item_id FROM f"
 ORACLES["p8_kept"] = _P8 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)"
 

@@ -36,15 +36,15 @@ def relevance(records: DataFrame, id_col: str, text_col: str, *, k1: float | Non
     if k1 is not None and (k1 < 0 or not 0 <= b <= 1):
         raise ValueError("k1 must be 0 or more and b between 0 and 1")
     runtime.prepare(records.sparkSession)
-    once = records.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(text_col).cast("string")).alias("text"))
+    known = records.filter(F.col(id_col).isNotNull())
+    once = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(text_col).cast("string")).alias("text"))
     words = F.filter(F.split(F.lower("text"), "[^0-9a-z]+"), lambda w: w != "")
-    held = once.select("id", words.alias("words"))
-    held = held.withColumn("length", F.coalesce(F.size("words"), F.lit(0)).cast("double"))
-    sums = held.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
-    n = sums.select("n").scalar()
-    average = F.lit(float(average_length)) if average_length is not None else sums.select("average").scalar()
+    held = once.select("id", words.alias("words")).select("id", F.size("words").cast("double").alias("length"), F.explode("words").alias("term"))
+    # the texts are taken apart once; lengths, document frequencies and scores come from the counted terms
+    tf = runtime.cut(held.groupBy("id", "term", "length").agg(F.count("*").cast("int").alias("tf")))
+    n = known.select(F.col(id_col).alias("id")).distinct().agg(F.count("*").cast("double")).scalar()
+    average = F.lit(float(average_length)) if average_length is not None else tf.agg(F.sum("tf").cast("double")).scalar() / n
 
-    tf = held.select("id", "length", F.explode("words").alias("term")).groupBy("id", "term", "length").agg(F.count("*").cast("int").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     norm = F.lit(1.0 - b) + F.lit(float(b)) * F.col("length") / average
     part = F.col("tf") / norm if k1 is None else F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(float(k1)) * norm)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from eventide.llm.bitmaps import bitmaps, decode, encode, frequencies, marked
+from eventide.llm.bitmaps import BITS, _union, bitmaps, encode, frequencies, marked
 from eventide.llm.relevance import relevance
 from eventide.llm.topn import LoserTree, merge_runs, top_n
 
@@ -63,17 +63,57 @@ def test_top_n_edges(spark):
     assert [len(r["t"]) for r in top_n(long, "g", "t", "w", 1).collect()] == [2_000_000]
 
 
-def test_containers():
+def unions(pieces):
+    """Runs the merge over (value, high, entries) pieces, some of them in each batch."""
+    out = {}
+    batches = []
+    for k in range(0, len(pieces), 3):
+        part = pieces[k : k + 3]
+        group = np.repeat(np.arange(len(part)), [len(p[2]) for p in part])
+        low, n, spelling = np.array([e for p in part for e in sorted(p[2])], np.int64).reshape(-1, 3).T
+        form, data = encode(group, low, n, spelling, len(part))
+        batches.append(pa.RecordBatch.from_arrays([pa.array([p[0] for p in part]), pa.array([p[1] for p in part]), pa.array(form), data], names=["value", "high", "form", "data"]))
+    for b in _union(iter(batches)):
+        for r in b.to_pylist():
+            assert (r["value"], r["high"]) not in out
+            ids = np.flatnonzero(np.unpackbits(np.frombuffer(r["ids"], np.uint8))) if r["card"] > 4096 else np.frombuffer(r["ids"], "<u2")
+            out[r["value"], r["high"]] = dict(zip(ids.tolist(), np.frombuffer(r["counters"], "<i8").tolist()))
+            assert r["card"] == len(ids) and r["occurrences"] == sum(out[r["value"], r["high"]].values())
+    return out, [f for b in batches for f in b.column("form").to_pylist()]
+
+
+def test_unions_of_all_forms():
     r = np.random.default_rng(3)
-    parts = [np.unique(r.integers(0, 65536, n)) for n in (1, 3, 4096, 9000, 0, 65536 * 3)]
-    group, low = np.repeat(np.arange(6), [len(p) for p in parts]), np.concatenate(parts)
-    got, card = encode(group, low, 6)
-    assert card.tolist() == [len(p) for p in parts]
-    assert [len(x) for x in got.to_pylist()][3] == 8192
-    row, back = decode(got)
-    for k, p in enumerate(parts):
-        assert sorted(back[row == k].tolist()) == p.tolist()
-    assert encode(np.zeros(0, int), np.zeros(0, int), 0)[0].type == pa.binary()
+    pieces, want, forms = [], {}, set()
+    for value, high, count in [("a", 0, 3), ("a", 1, 40), ("b", 0, 9000), ("c", 0, 30_000), ("d", 5, 6000), ("e", 0, 1)]:
+        for k in range(7):
+            low = np.unique(r.integers(0, 65536, count))
+            n = np.ones(len(low), int) if value == "b" or k == 2 else r.integers(1, 3, len(low)) if value != "d" else r.integers(1, 1 << 40, len(low))
+            spelling = np.zeros(len(low), int) if k % 2 or value != "a" else r.integers(0, 2, len(low))
+            pieces.append((value, high, set(zip(low.tolist(), n.tolist(), spelling.tolist()))))
+            want.setdefault((value, high), set()).update(pieces[-1][2])
+    got, forms = unions(pieces)
+    assert set(forms) == {0, 1, 2, 3}
+    for key, entries in want.items():
+        sums = {}
+        for low, n, _ in entries:
+            sums[low] = sums.get(low, 0) + n
+        assert got[key] == dict(sorted(sums.items())), key
+
+
+def test_many_dense_containers_are_merged_one_by_one():
+    import time
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    data = [np.packbits(r.random(65536) < 0.125).tobytes() for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["hot"] * 400), pa.array(np.zeros(400, np.int64)), pa.array(np.full(400, BITS, np.int8)), pa.array(data)], names=["value", "high", "form", "data"])
+    tracemalloc.start()
+    began = time.time()
+    (got,) = list(_union(iter([batch])))
+    assert time.time() - began < 2 and tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    assert got.column("card")[0].as_py() == 65536
 
 
 def test_frequencies(spark, rows):
@@ -81,10 +121,10 @@ def test_frequencies(spark, rows):
     data = [(r.choice([0, 1, 5, 70_000, -3, 1 << 40, None]), r.choice(["fire", "Fire", " fire ", "x", None]), r.choice([1, 2, None])) for _ in range(2000)]
     df = spark.createDataFrame(data, "record bigint, value string, n int").repartition(5)
     want = {}
-    for _, v, n in {d for d in data if d[1] is not None and d[2] is not None}:
-        k = v.strip().lower()
-        a, b = want.get(k, (0, 0))
-        want[k] = a + n, b + 1
+    for i, v, n in {d for d in data if d[1] is not None and d[2] is not None}:
+        a, b = want.get(k := v.strip().lower(), (0, set()))
+        want[k] = a + n, b | {i}
+    want = {k: (a, len(b)) for k, (a, b) in want.items()}
     from pyspark.sql import functions as F
 
     got = frequencies(df, "record", "value", "n", lambda c: F.lower(F.trim(c)))
