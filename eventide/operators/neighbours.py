@@ -93,7 +93,7 @@ class _Cuts:
             node, own, depth = todo.pop()
             self.depth = max(self.depth, depth)
             v = sample[own]
-            spread = v.max(0) - v.min(0) if len(own) else np.zeros(3)
+            spread = v.max(0) - v.min(0) if len(own) else np.zeros(v.shape[1])
             if len(own) > cell_samples and spread.max() > 0:
                 k = int(np.argmax(spread))
                 s = np.sort(v[:, k])
@@ -132,11 +132,11 @@ class _Cuts:
         return tuple(np.concatenate(x) for x in zip(*done)) if done else (point, node, home)
 
 
-def _cuts_of(rows: DataFrame, fraction: float, cell_points: int) -> _Cuts:
+def _cuts_of(rows: DataFrame, fraction: float, cell_points: int, space=_vectors) -> _Cuts:
     drawn = rows.select("x", "y").sample(fraction, seed=7).toPandas()
     x, y = drawn["x"].to_numpy(float), drawn["y"].to_numpy(float)
     fit = np.isfinite(x) & np.isfinite(y)
-    return _Cuts(_vectors(x[fit], y[fit]), max(1, int(cell_points * fraction)), 1 / fraction, cell_points)
+    return _Cuts(space(x[fit], y[fit]), max(1, int(cell_points * fraction)), 1 / fraction, cell_points)
 
 
 def _batches(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -1,4 +1,9 @@
-"""The regions that contain each point, by a plane sweep over polygon edges within k-d cells."""
+"""The regions that contain each point, by a plane sweep over polygon edges within k-d cells of the map.
+
+An edge goes down the tree of cells with the cells that it meets. Of edges wholly below a cell only their ends matter: where a ring's path under the
+cell goes on, the ends of its edges meet and cancel, so a long outline leaves a cell with its own edges and with the few places where the number of
+edges below changes between even and odd. Each cell then sweeps its own edges.
+"""
 
 from __future__ import annotations
 
@@ -6,47 +11,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from .neighbours import CELL_BITS, CELL_POINTS, EARTH_R, SAMPLE_LEAST, _batches, _Cuts, _cuts_of, _finite, _vectors
-
-#: (point, edge) pairs that are looked at together.
-_AT_ONCE = 1 << 21
+from .neighbours import CELL_BITS, CELL_POINTS, SAMPLE_LEAST, _batches, _Cuts, _cuts_of, _finite
 
+#: (point, edge) pairs that are looked at together; metres by which an edge must be off a cell to be left out, far above any rounding.
+_AT_ONCE, MARGIN = 1 << 21, 1e-3
 
-def _box_of_rectangle(x0: float, x1: float, y0: float, y1: float) -> tuple[np.ndarray, np.ndarray]:
-    """A box around the unit vectors of a rectangle in the Web Mercator plane."""
-    far = 1 / np.cosh(max(abs(y0), abs(y1)) / EARTH_R)
-    near = 1.0 if y0 <= 0 <= y1 else 1 / np.cosh(min(abs(y0), abs(y1)) / EARTH_R)
-    lon = np.array([x0, x1]) / EARTH_R
 
-    def span(shift: float) -> tuple[float, float]:
-        a, b = lon - shift
-        low, high = np.cos([a, b]).min(), np.cos([a, b]).max()
-        if np.floor(b / (2 * np.pi)) >= np.ceil(a / (2 * np.pi)):
-            high = 1.0
-        if np.floor((b - np.pi) / (2 * np.pi)) >= np.ceil((a - np.pi) / (2 * np.pi)):
-            low = -1.0
-        return min(low * near, low * far), max(high * near, high * far)
+def _odd(at: np.ndarray) -> np.ndarray:
+    """The places that are there an odd number of times, in order."""
+    value, n = np.unique(at, return_counts=True)
+    return value[n % 2 == 1]
 
-    sides = [span(0.0), span(np.pi / 2), (np.tanh(y0 / EARTH_R), np.tanh(y1 / EARTH_R))]
-    return np.array([s[0] for s in sides]) - 1e-9, np.array([s[1] for s in sides]) + 1e-9
 
+def pieces(cuts: _Cuts, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cell, edges, turns) of one ring for each cell that it meets or covers in part; ``x1`` < ``x2`` for every edge.
 
-def _cells_of_box(cuts: _Cuts, low: np.ndarray, high: np.ndarray) -> list[int]:
-    found, todo = [], [0]
+    ``edges`` are numbers of edges that meet the cell, ``turns`` the x from which on the number of edges below the cell is odd, then even, and so on.
+    """
+    least, most = np.minimum(y1, y2) - MARGIN, np.maximum(y1, y2) + MARGIN
+    todo = [(0, -np.inf, np.inf, np.arange(len(x1)), np.zeros(0))]
     while todo:
-        n = todo.pop()
-        if cuts.child[n] < 0:
-            found.append(int(-1 - cuts.child[n]))
+        node, west, east, edges, turns = todo.pop()
+        if not len(edges) and not len(turns):
             continue
-        if low[cuts.axis[n]] < cuts.at[n]:
-            todo.append(cuts.child[n])
-        if high[cuts.axis[n]] >= cuts.at[n]:
-            todo.append(cuts.child[n] + 1)
-    return found
+        if cuts.child[node] < 0:
+            yield int(-1 - cuts.child[node]), edges, turns
+            continue
+        at, left = cuts.at[node], int(cuts.child[node])
+        if cuts.axis[node] == 0:
+            before = turns <= at
+            todo.append((left, west, at, edges[x1[edges] < at], turns[turns < at]))
+            todo.append((left + 1, at, east, edges[x2[edges] > at], np.append(np.full(int(before.sum()) % 2, at), turns[~before])))
+        else:
+            under = edges[most[edges] < at]
+            ends = np.concatenate([turns, np.maximum(x1[under], west), x2[under]])
+            todo.append((left, west, east, edges[least[edges] < at], turns))
+            todo.append((left + 1, west, east, edges[most[edges] >= at], _odd(ends[ends < east])))
 
 
 def sweep(px: np.ndarray, py: np.ndarray, region: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +98,7 @@ def sweep(px: np.ndarray, py: np.ndarray, region: np.ndarray, x1: np.ndarray, y1
     return (np.concatenate(points), np.concatenate(regions)) if points else (none, none)
 
 
-def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: DataFrame, region_col: str, xs: str, ys: str) -> DataFrame:
+def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: DataFrame, region_col: str, xs: str, ys: str, *, cell_points: int = CELL_POINTS) -> DataFrame:
     """``(id, region)`` for every point and each region that contains it.
 
     ``regions`` has a row for each ring: the region's integer id and the parallel coordinate arrays ``xs``, ``ys`` in
@@ -107,46 +112,64 @@ def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: D
     rows = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     rows = rows.filter(F.col("id").isNotNull())
     fraction = runtime.sample_fraction(points, SAMPLE_LEAST, 64)
-    cuts = _cuts_of(rows, fraction, CELL_POINTS)
-    kind = "task bigint, id bigint, xs array<double>, ys array<double>, ring boolean"
+    cuts = _cuts_of(rows, fraction, cell_points, _plane)
+    kind = "task bigint, id bigint, kind tinyint, xs array<double>, ys array<double>"
+    names = ["task", "id", "kind", "xs", "ys"]
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             i, px, py = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             fit = np.isfinite(px) & np.isfinite(py)
             i, px, py = i[fit], px[fit], py[fit]
-            _, cell, _ = (z[np.argsort(o[0], kind="stable")] for o in [cuts.cells(_vectors(px, py), np.full(len(px), -1.0))] for z in o)
+            point, cell, _ = cuts.cells(_plane(px, py), np.full(len(px), -1.0))
+            i, px, py = i[point], px[point], py[point]
             task = (cell.astype(np.int64) << CELL_BITS) + i % cuts.block[cell]
-            one = np.arange(len(i) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(i), pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(px)), pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(py)), pa.array(np.zeros(len(i), bool))], names=["task", "id", "xs", "ys", "ring"])
+            one = pa.array(np.arange(len(i) + 1), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(i), pa.array(np.zeros(len(i), np.int8)), pa.ListArray.from_arrays(one, pa.array(px)), pa.ListArray.from_arrays(one, pa.array(py))], names=names)
 
     def deal_rings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out: list[tuple[int, int, list, list, bool]] = []
-            for rid, cx, cy in zip(*(c.to_pylist() for c in b.columns)):
-                for cell in _cells_of_box(cuts, *_box_of_rectangle(min(cx), max(cx), min(cy), max(cy))):
-                    out += [((cell << CELL_BITS) + k, rid, cx, cy, True) for k in range(cuts.block[cell])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_()))], names=["task", "id", "xs", "ys", "ring"])
+            for k in range(len(b)):
+                rid = b.column("id")[k].as_py()
+                cx, cy = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("xs", "ys"))
+                nx, ny = np.roll(cx, -1), np.roll(cy, -1)
+                up, swap = cx != nx, cx > nx
+                x1, y1, x2, y2 = (np.where(swap, q, p)[up] for p, q in ((cx, nx), (cy, ny), (nx, cx), (ny, cy)))
+                out = []
+                for cell, edges, turns in pieces(cuts, x1, y1, x2, y2):
+                    own = [(1, np.stack([x1[edges], x2[edges]], 1).ravel(), np.stack([y1[edges], y2[edges]], 1).ravel())] if len(edges) else []
+                    own += [(2, turns, np.zeros(0))] if len(turns) else []
+                    out += [((cell << CELL_BITS) + block, rid, *v) for block in range(cuts.block[cell]) for v in own]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int8(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=names)
 
     def inside(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _batches(it, "task"):
-            ring = t.column("ring").to_numpy()
-            shapes, dots = t.filter(pa.array(ring)), t.filter(pa.array(~ring))
-            if not shapes.num_rows or not dots.num_rows:
+            what = t.column("kind").to_numpy()
+            dots, lines, turns = (t.filter(pa.array(what == k)).combine_chunks() for k in range(3))
+            if not dots.num_rows or dots.num_rows == t.num_rows:
                 continue
-            edges = [[] for _ in range(5)]
-            for rid, cx, cy in zip(*(shapes.column(c).to_pylist() for c in ("id", "xs", "ys"))):
-                for k, z in enumerate((np.full(len(cx), rid), cx, cy, np.roll(cx, -1), np.roll(cy, -1))):
-                    edges[k].append(np.asarray(z))
             px, py = (dots.column(c).combine_chunks().flatten().to_numpy() for c in ("xs", "ys"))
-            p, r = sweep(px, py, *(np.concatenate(z) for z in edges))
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(dots.column("id").to_numpy()[p]), pa.array(r)], names=["id", "region"])
+            known = np.unique(np.concatenate([lines.column("id").to_numpy(), turns.column("id").to_numpy()]))
+            odd = np.zeros(0, np.int64)  # point x number of regions + region
+            if lines.num_rows:
+                n = pc.list_value_length(lines.column("xs")).to_numpy() // 2
+                ex, ey = (lines.column(c).combine_chunks().flatten().to_numpy().reshape(-1, 2) for c in ("xs", "ys"))
+                p, r = sweep(px, py, np.repeat(lines.column("id").to_numpy(), n), ex[:, 0], ey[:, 0], ex[:, 1], ey[:, 1])
+                odd = p * len(known) + np.searchsorted(known, r)
+            for rid, at in zip(turns.column("id").to_pylist(), turns.column("xs")):
+                p = np.flatnonzero(np.searchsorted(at.values.to_numpy(), px, "right") % 2)
+                odd = np.setxor1d(odd, p * len(known) + np.searchsorted(known, rid), assume_unique=True)
+            if len(odd):
+                yield pa.RecordBatch.from_arrays([pa.array(dots.column("id").to_numpy()[odd // len(known)]), pa.array(known[odd % len(known)])], names=["id", "region"])
 
     corners = lambda c: (F.size(F.col(c)) >= 3) & F.forall(F.col(c), _finite)
     rings = regions.select(F.col(region_col).cast("bigint").alias("id"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys"))
     rings = rings.filter(F.col("id").isNotNull() & F.col("xs").isNotNull() & F.col("ys").isNotNull() & (F.size("xs") == F.size("ys"))).filter(corners("xs") & corners("ys")).distinct()
     both = rows.distinct().mapInArrow(deal, kind).unionByName(rings.mapInArrow(deal_rings, kind))
-    found = both.repartition("task").sortWithinPartitions("task").mapInArrow(inside, "id bigint, region bigint")
+    found = both.repartition("task").sortWithinPartitions("task").mapInArrow(inside, "id bigint, region bigint").distinct()
     return found.select(F.col("id").cast(dict(points.dtypes)[id_col]).alias(id_col), F.col("region").cast(dict(regions.dtypes)[region_col]).alias(region_col))
+
+
+def _plane(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.stack([x, y], 1)

@@ -100,14 +100,46 @@ def inside(x, y, rings):
     return n % 2 == 1
 
 
-def test_regions(spark, rows):
+@pytest.mark.parametrize("cell_points", [100_000, 40, 1])
+def test_regions(spark, rows, cell_points):
     r = random.Random(5)
     rings = [(1, [0.0, 1e6, 1e6, 0.0], [0.0, 0.0, 1e6, 1e6]), (1, [2e5, 4e5, 4e5, 2e5], [2e5, 2e5, 4e5, 4e5]), (2, [-1e7, 1e7, 0.0], [-1e7, -1e7, 1.5e7]), (3, [5e5, 9e5, 7e5, 9e5, 5e5], [1e5, 1e5, 5e5, 9e5, 9e5])]
     bad = [(4, [0.0, 1.0], [0.0, 1.0]), (5, None, None), (6, [0.0, None, 1.0], [0.0, 1.0, 1.0]), (None, [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])]
     p = [(i, r.uniform(-2e6, 2e6), r.uniform(-2e6, 2e6)) for i in range(800)] + [(900, 0.0, 0.0), (901, 1e6, 5e5), (902, None, 1.0), (903, float("nan"), 1.0)]
     regions = spark.createDataFrame(rings + bad + rings[:1], "region int, xs array<double>, ys array<double>")
-    got = rows(points_in_regions(spark.createDataFrame(p, "id int, x double, y double"), "id", "x", "y", regions, "region", "xs", "ys"))
+    got = rows(points_in_regions(spark.createDataFrame(p, "id int, x double, y double"), "id", "x", "y", regions, "region", "xs", "ys", cell_points=cell_points))
     want = [(i, k) for i, x, y in p if x == x and x is not None for k in (1, 2, 3) if inside(x, y, [(a, b) for q, a, b in rings if q == k])]
     assert got == sorted(want, key=repr) and (900, 1) in got and (901, 1) not in got
     none = np.zeros(0)
     assert len(sweep(none, none, none.astype(int), none, none, none, none)[0]) == 0
+
+
+def test_a_long_outline_over_many_cells(spark, rows):
+    import math
+
+    n = 100_000
+    turn = [2 * math.pi * k / n for k in range(n)]
+    ring = [(1e6 + 2e4 * math.cos(40 * t)) for t in turn]
+    xs, ys = [d * math.cos(t) for d, t in zip(ring, turn)], [d * math.sin(t) for d, t in zip(ring, turn)]
+    r = random.Random(6)
+    p = [(i, r.uniform(-1.1e6, 1.1e6), r.uniform(-1.1e6, 1.1e6)) for i in range(2000)]
+    regions = spark.createDataFrame([(1, xs, ys)], "region int, xs array<double>, ys array<double>")
+    got = points_in_regions(spark.createDataFrame(p, "id int, x double, y double"), "id", "x", "y", regions, "region", "xs", "ys", cell_points=50)
+    inner = {i for i, x, y in p if math.hypot(x, y) < 1e6 + 2e4 * math.cos(40 * math.atan2(y, x)) - 1}
+    outer = {i for i, x, y in p if math.hypot(x, y) > 1e6 + 2e4 * math.cos(40 * math.atan2(y, x)) + 1}
+    found = {x["id"] for x in got.collect()}
+    assert inner <= found and not outer & found and len(inner) + len(outer) >= 1990
+
+
+def test_edges_go_to_the_cells_that_they_meet():
+    from eventide.operators.neighbours import _Cuts
+    from eventide.operators.regions import pieces
+
+    r = np.random.default_rng(2)
+    cuts = _Cuts(r.uniform(0, 1, (4096, 2)), 16, 1.0, 16)
+    turn = np.linspace(0, 2 * np.pi, 5001)
+    x, y = 0.5 + 0.4 * np.cos(turn), 0.5 + 0.4 * np.sin(turn)
+    swap = x[:-1] > x[1:]
+    ends = [np.where(swap, b, a) for a, b in ((x[:-1], x[1:]), (y[:-1], y[1:]), (x[1:], x[:-1]), (y[1:], y[:-1]))]
+    got = list(pieces(cuts, *ends))
+    assert sum(len(e) for _, e, _ in got) < 2.5 * 5000 and max(len(t) for _, _, t in got) <= 4
