@@ -6,22 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from .cells import similar
+from .prefix import similar_pairs
 
 #: Copies of a set that one task pairs with each other.
 COPIES = 2_000
 
 
 def term_sets(rows: DataFrame, id_col: str, terms_col: str) -> DataFrame:
-    """``(id, terms)``: the sorted hashes of each record's distinct terms, trimmed of spaces and lower-cased, without nulls and blanks.
+    """``(id, terms)`` of each row with an id and a term: the sorted hashes of its distinct terms, trimmed of spaces and lower-cased, without nulls and blanks.
 
-    An id counts once; of several sets of one id the greatest (in the order of arrays) counts. Rows with a null id don't count.
     Two terms of equal 64-bit hash count as one: to be expected once among some billions of distinct terms.
     """
     clean = F.filter(F.transform(F.col(terms_col).cast("array<string>"), lambda t: F.lower(F.trim(t))), lambda t: t.isNotNull() & (F.length(F.translate(t, "\t\r\n ", "")) > 0))
     keys = F.array_sort(F.array_distinct(F.transform(clean, lambda t: F.xxhash64(t))))
-    some = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), keys.alias("terms")).filter(F.size("terms") > 0)
-    return some.groupBy("id").agg(F.max("terms").alias("terms"))
+    return rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), keys.alias("terms")).filter(F.size("terms") > 0)
+
+
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, terms)`` of one record of each different set, its smallest id, and ``(id, rep, copies)`` of all records; ``rows`` are ``term_sets``.
+
+    An id counts once; of several sets of one id the one with the greatest key counts. Sets are told apart by a key of 128 bits, so terms move once.
+    """
+    keyed = rows.withColumns({"k": F.xxhash64("terms"), "l": F.xxhash64(F.lit(1), "terms")})
+    one = keyed.groupBy("id").agg(F.max(F.struct("k", "l")).alias("m")).select("id", "m.k", "m.l")
+    first = one.groupBy("k", "l").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    sets = keyed.groupBy("k", "l").agg(F.first("terms").alias("terms")).join(first, ["k", "l"])
+    member = runtime.cut(one.join(first, ["k", "l"]).select("id", "rep", "copies"))
+    return runtime.cut(sets.select(F.col("rep").alias("id"), "terms")), member
 
 
 def similar_sets(tables: list[tuple[DataFrame, str, str]], threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -35,21 +46,17 @@ def similar_sets(tables: list[tuple[DataFrame, str, str]], threshold: float) ->
     sets = None
     for rows, id_col, terms_col in tables:
         runtime.prepare(rows.sparkSession)
-        one = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(terms_col).alias("terms"))
+        one = term_sets(rows, id_col, terms_col)
         sets = one if sets is None else sets.unionByName(one)
-    records = runtime.cut(term_sets(sets, "id", "terms"))
-    classes = runtime.cut(records.groupBy("terms").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    pairs = similar(classes.select("id", "terms"), "jaccard", threshold)
-    many = classes.filter("copies > 1").select("terms", F.col("id").alias("rep"), "copies")
-    member = records.join(many, "terms").select("id", "rep", "copies")
-    alone = classes.filter("copies = 1").select("id", F.col("id").alias("rep"), "copies")
-    return pairs, member.unionByName(alone)
+    records, members = classes(sets)
+    return similar_pairs(records, threshold), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """All similar pairs of ids ``(a, b)``, a < b, copies of equal sets included.
 
-    A class of many copies is paired in blocks, so that no task holds more than a bounded share of it.
+    A class of many copies is paired in blocks, so that no task holds more than a bounded share of it. The result is as large as the question: a class
+    of c copies has c (c - 1) / 2 pairs. Where that is too much, use the pairs of representatives and the members of their classes.
     """
     many = members.filter("copies > 1")
     by = lambda c: many.select(F.col("rep").alias(c), F.col("id").alias(f"{c}_id"))
