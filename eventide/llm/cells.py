@@ -1,36 +1,31 @@
-"""Exact similarity joins of sparse records in cells around pivots.
+"""All similar pairs of sparse vectors by cosine.
 
-The pivots are the single-term sets. A record's nearest pivots are those of its own terms (its Jaccard distance to them is
-1 - 1/n, to all others 1); ties go to the rarer term. A record is copied to the pivots near its boundary: with its terms
-in pivot order, any record that meets it first at its k-th term is at a distance of k/n at least (for cosine: has at most the norm of
-the rest in common with it), so copies are needed only while that bound allows the threshold. Both records of
-every similar pair meet in the cell of their first common term, and only there the pair is given.
-
-In a cell with many records a second level of pivots, drawn from its records, cuts it up: records go to their nearest
-pivot, and those of other parts are compared with a part only where the triangle inequality lets them come near its
-radius. A cell larger than a task should hold is dealt as a triangle of blocks.
+Terms have one order, the rarest first. Vectors of length one whose first common term is the k-th of one of them have in common with it at most the
+norm of its rest from there on, so a vector goes to the cells of its terms as long as that rest allows the threshold. Both vectors of a similar
+pair meet in the cell of their first common term, and only there the pair is given. A cell larger than a task should hold is dealt as a triangle of
+blocks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
+from .order import code_above, codes_of, dealt, frequency_codes, hot_cells
+from .prefix import overlaps
 
-#: Terms whose frequency is known to every task hold at least this share of all (record, term) rows each: at most its inverse of them.
-HEAVY_SHARE = 1 / 100_000
-#: Records of a cell that one task compares; from how many on record pivots cut the cell; pairs, and term rows, held at once.
-BLOCK, PIVOT_FROM, PAIRS, ROWS = 20_000, 400, 1 << 19, 400_000
+#: Records of a cell that one task compares; pairs, and term rows, held at once.
+BLOCK, PAIRS, ROWS = 20_000, 1 << 19, 400_000
 #: Terms up to which a record travels to its cells whole; a longer one is looked for by its cells' numbers and fetched for each candidate pair.
 LONG = 1_000
-#: Records from which on a cell of a spanning join leaves linked records out.
-SPAN_FROM = 24
+#: The similarity that counts: digits of a distance, so that the order of a sum decides nothing.
+DIGITS = 12
 
 
 class Batch:
@@ -77,29 +72,13 @@ class Batch:
         out[pair[self.keys[other] == key]] = True
         return out
 
-    def overlap_most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """A bound of the number of common terms, from the marks."""
-        more, less = (sum(np.bitwise_count(m[x] & ~m[y]).astype(np.int64) for m in self.marks) for x, y in ((a, b), (b, a)))
-        return np.minimum(self.size[a] - more, self.size[b] - less)
-
-
-def jaccard(batch: Batch, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs reach the threshold, and their distances."""
-    both = batch.size[a] + batch.size[b]
-    most = batch.overlap_most(a, b)
-    fit = np.flatnonzero(most >= (both - most) * threshold)
-    n = np.bincount(batch.common(a[fit], b[fit])[0], minlength=len(fit))
-    union = both[fit] - n
-    good = n >= threshold * union
-    return fit[good], 1 - n[good] / union[good]
-
 
 def cosine(batch: Batch, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """As ``jaccard``, for vectors of length one."""
+    """Which pairs of vectors of length one reach the threshold, and their distances."""
     pair, row, other = batch.common(a, b)
-    dot = np.bincount(pair, batch.weights[row] * batch.weights[other], minlength=len(a))
+    dot = np.round(np.bincount(pair, batch.weights[row] * batch.weights[other], minlength=len(a)), DIGITS)
     good = np.flatnonzero(dot >= threshold)
-    return good, np.maximum(0.0, 1 - dot[good])
+    return good, np.round(np.maximum(0.0, 1 - dot[good]), DIGITS)
 
 
 def _pairs_of_small(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,47 +93,8 @@ def _pairs_of_small(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield i, i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _pairs_by_pivots(batch: Batch, rows: np.ndarray, theta: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within one large cell that Jaccard pivots can't tell apart by more than ``theta``."""
-    m = len(rows)
-    pivots = rows[np.linspace(0, m - 1, min(48, max(2, m // 128))).astype(int)]
-    distance = np.ones((len(pivots), m))
-    for k, p in enumerate(pivots):
-        for part in np.array_split(np.arange(m), -(-m * int(batch.size[p]) // (4 * PAIRS)) or 1):
-            n = np.bincount(batch.common(np.full(len(part), p), rows[part])[0], minlength=len(part))
-            distance[k, part] = 1 - n / (batch.size[p] + batch.size[rows[part]] - n)
-    home = np.argmin(distance, axis=0)
-    for k in range(len(pivots)):
-        own = np.flatnonzero(home == k)
-        if not len(own):
-            continue
-        near = np.flatnonzero((distance[k] <= distance[k, own].max() + theta + 1e-9) & (home >= k))
-        for part in np.array_split(own, -(-len(own) * len(near) // PAIRS)):
-            i, j = np.repeat(part, len(near)), np.tile(near, len(part))
-            keep = ((home[j] > k) | (i < j)) & (np.abs(distance[k, i] - distance[k, j]) <= theta + 1e-9)
-            yield rows[i[keep]], rows[j[keep]]
-
-
-def _spanning(batch: Batch, rows: np.ndarray, judge, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of similar pairs that link whatever is linked within one cell: records that are linked already aren't compared."""
-    part, left = np.arange(len(rows)), np.ones(len(rows), bool)
-    for i in range(len(rows)):
-        left[i] = False
-        other = np.flatnonzero(left & (part != part[i]))
-        if not len(other):
-            if (part == part[0]).all():
-                return
-            continue
-        good, distance = judge(batch, np.full(len(other), rows[i]), rows[other], threshold)
-        if len(good):
-            hit = other[good]
-            part[np.isin(part, part[hit])] = part[i]
-            yield np.full(len(hit), rows[i]), rows[hit], distance
-
-
-def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float, light: bool = False):
-    """Rows (cell, id, at, terms, weights): each record in every cell that the bound leaves it; ``light``: (cell, id, size) only."""
-    words, known = heavy
+def _spread(held, threshold: float, light: bool = False, least_code: int = 0):
+    """Rows (cell, id, at, terms, weights): each record in every cell that the bound leaves it; ``light``: (cell, id, size) only, of terms with at least that code."""
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -165,22 +105,17 @@ def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float
                 terms = lists.values.to_numpy()[offsets[0] : offsets[-1]]
                 size = np.diff(offsets)
                 record = np.repeat(np.arange(len(size)), size)
-                at = np.minimum(np.searchsorted(words, terms), max(0, len(words) - 1))
-                often = np.where(words[at] == terms, known[at], 0) if len(words) else np.zeros(len(terms), np.int64)
-                order = np.lexsort((terms, often, record))
-                terms = terms[order]
+                code = codes_of(held.value, terms)
+                order = np.lexsort((terms, code, record))
+                terms, code = terms[order], code[order]
                 first = np.cumsum(size) - size
                 position = np.arange(len(terms)) - np.repeat(first, size)
-                if measure == "jaccard":
-                    keep = size[record] - position >= threshold * size[record] - 1e-9
-                    weights = None
-                else:
-                    weights = batch.column("weights").values.to_numpy()[offsets[0] : offsets[-1]][order]
-                    power = np.bincount(record, weights**2, minlength=len(size))
-                    weights = weights / np.sqrt(power[record])
-                    done = np.cumsum(weights**2)
-                    left = np.where(size > 0, 1.0, 0)[record] - (done - weights**2 - np.append(0.0, done)[first][record])
-                    keep = left >= threshold**2 - 1e-9
+                weights = batch.column("weights").values.to_numpy()[offsets[0] : offsets[-1]][order]
+                power = np.bincount(record, weights**2, minlength=len(size))
+                weights = weights / np.sqrt(power[record])
+                done = np.cumsum(weights**2)
+                left = np.where(size > 0, 1.0, 0)[record] - (done - weights**2 - np.append(0.0, done)[first][record])
+                keep = (left >= threshold**2 - 1e-9) & (code >= least_code)
                 rows = np.flatnonzero(keep)
                 if light:
                     for part in np.array_split(rows, -(-len(rows) // (4 * ROWS)) or 1):
@@ -192,61 +127,34 @@ def _spread(heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float
                     n = size[record[part]]
                     pick = np.repeat(first[record[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-                    w = np.zeros(0) if weights is None else weights[pick]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(terms[part]), pa.array(ids[record[part]]), pa.array(position[part].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(terms[pick])), pa.ListArray.from_arrays(pa.array(np.zeros(len(part) + 1, np.int32)) if weights is None else ends, pa.array(w))],
+                        [pa.array(terms[part]), pa.array(ids[record[part]]), pa.array(position[part].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(terms[pick])), pa.ListArray.from_arrays(ends, pa.array(weights[pick]))],
                         names=["cell", "id", "at", "terms", "weights"],
                     )
 
     return spread
 
 
-def _join(measure: str, threshold: float, spanning: bool):
-    theta = 1 - threshold
-    judge = jaccard if measure == "jaccard" else cosine
-
+def _join(threshold: float):
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         """Joins the records of whole tasks. In a block off the diagonal, records of side 0 meet those of side 1 only."""
         rows = table.combine_chunks().to_batches()[0]
         cell, ids, at, side = (rows.column(c).to_numpy() for c in ("task", "id", "at", "side"))
         lists = rows.column("terms")
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        weights = None if measure == "jaccard" else rows.column("weights").values.to_numpy()[offsets[0] : offsets[-1]]
+        weights = rows.column("weights").values.to_numpy()[offsets[0] : offsets[-1]]
         batch = Batch(offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]], weights, at.astype(np.int64))
         begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sizes = np.diff(np.append(begin, len(cell)))
-
-        def out(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in _pairs_of_small(np.diff(np.append(begin, len(cell)))):
             keep = (ids[i] != ids[j]) & ((side[i] < 0) | (side[i] != side[j]))
             i, j = i[keep], j[keep]
             new = ~batch.met_before(i, j, at)
             i, j = i[new], j[new]
             for part in np.array_split(np.arange(len(i)), -(-int(batch.size[i].sum()) // (8 * PAIRS)) or 1):
-                good, distance = judge(batch, i[part], j[part], threshold)
-                good = part[good]
+                good, distance = cosine(batch, i[part], j[part], threshold)
                 if len(good):
-                    yield given(i[good], j[good], distance)
-
-        def given(i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
-            a, b = ids[i], ids[j]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance)], names=["a", "b", "distance"])
-
-        large = SPAN_FROM if spanning else PIVOT_FROM
-        small = (sizes > 1) & (sizes < large)
-        member = np.flatnonzero(np.repeat(small, sizes))
-        for i, j in _pairs_of_small(sizes[small]):
-            yield from out(member[i], member[j])
-        for k in np.flatnonzero(sizes >= large):
-            own = np.arange(begin[k], begin[k] + sizes[k])
-            if spanning:
-                for i, j, distance in _spanning(batch, own, judge, threshold):
-                    yield given(i, j, distance)
-            elif measure == "jaccard":
-                for i, j in _pairs_by_pivots(batch, own, theta):
-                    yield from out(i, j)
-            else:
-                for i, j in _pairs_of_small(np.array([len(own)])):
-                    yield from out(own[i], own[j])
+                    a, b = ids[i[part[good]]], ids[j[part[good]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance)], names=["a", "b", "distance"])
 
     def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -272,88 +180,50 @@ def _join(measure: str, threshold: float, spanning: bool):
     return join
 
 
-def _verify(measure: str, threshold: float):
+def _verify(threshold: float):
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            good, distance = [], []
-            for k in range(len(batch)):
-                ta, wa, tb, wb = (batch.column(c)[k].values.to_numpy() for c in ("ta", "wa", "tb", "wb"))
-                same, i, j = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
-                if measure == "jaccard":
-                    union = len(ta) + len(tb) - len(same)
-                    fit, d = len(same) >= threshold * union, 1 - len(same) / union
-                else:
-                    dot = float(wa[i] @ wb[j] / np.sqrt((wa @ wa) * (wb @ wb)))
-                    fit, d = dot >= threshold, max(0.0, 1 - dot)
-                if fit:
-                    good.append(k)
-                    distance.append(d)
-            if good:
-                at = pa.array(good)
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(distance)], names=["a", "b", "distance"])
+            ta, tb = batch.column("ta"), batch.column("tb")
+            wa, wb = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("wa", "wb"))
+            pair, x, y = overlaps(ta, tb)
+            power = [np.add.reduceat(w * w, np.append(0, np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False))[:-1])) if len(batch) else w for t, w in ((ta, wa), (tb, wb))]
+            dot = np.round(np.bincount(pair, wa[x] * wb[y], minlength=len(batch)) / np.sqrt(power[0] * power[1]), DIGITS)
+            good = np.flatnonzero(dot >= threshold)
+            take = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take), pa.array(np.round(np.maximum(0.0, 1 - dot[good]), DIGITS))], names=["a", "b", "distance"])
 
     return verify
 
 
-def _long_pairs(records: DataFrame, heavy: tuple[np.ndarray, np.ndarray], measure: str, threshold: float) -> DataFrame:
+def _long_pairs(records: DataFrame, held, threshold: float) -> DataFrame:
     """The similar pairs with a record of more than ``LONG`` terms: candidates share a cell, each is verified once."""
-    may = records.filter(F.size("terms") >= threshold * LONG) if measure == "jaccard" else records
-    light = may.mapInArrow(_spread(heavy, measure, threshold, light=True), "cell bigint, id bigint, size int")
-    a = light.filter(F.col("size") > LONG).select("cell", F.col("id").alias("x"), F.col("size").alias("n"))
-    b = light.select("cell", F.col("id").alias("y"), F.col("size").alias("m"))
-    met = a.join(b, "cell").filter("x <> y")
-    if measure == "jaccard":
-        met = met.filter((F.col("m") >= threshold * F.col("n") - 1e-9) & (F.col("n") >= threshold * F.col("m") - 1e-9))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda c: may.select(F.col("id").alias(c), F.col("terms").alias(f"t{c}"), F.col("weights").alias(f"w{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(measure, threshold), "a bigint, b bigint, distance double")
-
+    light = records.mapInArrow(_spread(held, threshold, light=True), "cell bigint, id bigint, size int")
+    a = light.filter(F.col("size") > LONG).select("cell", F.col("id").alias("x"))
+    b = light.select("cell", F.col("id").alias("y"))
+    pairs = a.join(b, "cell").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: records.select(F.col("id").alias(c), F.col("terms").alias(f"t{c}"), F.col("weights").alias(f"w{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(threshold), "a bigint, b bigint, distance double")
 
-def similar(records: DataFrame, measure: str, threshold: float, *, block: int = BLOCK, spanning: bool = False) -> DataFrame:
-    """``(a, b, distance)``, a < b, of all pairs of records whose similarity reaches ``threshold``, each pair once.
 
-    With ``spanning``, only so many of these pairs (some perhaps twice) that all records which are linked, directly or through others,
-    are linked by them: within a large cell, records known to be linked aren't compared, so a dense cell costs little more than its size.
+def similar(records: DataFrame, threshold: float, *, block: int | None = None) -> DataFrame:
+    """``(a, b, distance)``, a < b, of all pairs of records whose cosine reaches ``threshold``, each pair once; distances have 12 digits.
 
-    ``records`` has ``id`` BIGINT (unique), ``terms`` ARRAY<BIGINT> of distinct term hashes and for "cosine" ``weights``
-    ARRAY<DOUBLE>, positive and parallel to them. Records without terms are similar to nothing.
-    ``records`` is read several times and should be stored.
+    ``records`` has ``id`` BIGINT (unique), ``terms`` ARRAY<BIGINT> of distinct term hashes and ``weights`` ARRAY<DOUBLE>, positive and
+    parallel to them. Records without terms are similar to nothing. ``records`` is read several times and should be stored.
     """
-    if measure not in ("jaccard", "cosine") or not 0 < threshold <= 1:
-        raise ValueError("measure is 'jaccard' or 'cosine', threshold above 0 and at most 1")
-    runtime.prepare(records.sparkSession)
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    spark = records.sparkSession
+    runtime.prepare(spark)
+    block = BLOCK if block is None else block
     records = records.filter(F.size("terms") > 0)
-    if measure == "jaccard":
-        records = records.select("id", "terms", F.array().cast("array<double>").alias("weights"))
-    df = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total, longest = (x or 0 for x in records.agg(F.sum(F.size("terms").cast("bigint")), F.max(F.size("terms"))).first())
-    least = max(2, math.ceil(total * HEAVY_SHARE))
-    top = df.filter(F.col("df") >= least).orderBy("term").toPandas()  # at most 1 / HEAVY_SHARE rows
-    heavy = top["term"].to_numpy(np.int64), top["df"].to_numpy(np.int64)
-    block = max(block, least)
-    long = _long_pairs(records, heavy, measure, threshold) if longest > LONG else None
+    codes = frequency_codes(records)
+    held = spark.sparkContext.broadcast(codes)
+    longest = records.agg(F.max(F.size("terms"))).first()[0] or 0
+    long = _long_pairs(records, held, threshold) if longest > LONG else None
     records = records.filter(F.size("terms") <= LONG)
-
-    kind = "cell bigint, id bigint, at int, terms array<bigint>, weights array<double>"
-    dealt = records.mapInArrow(_spread(heavy, measure, threshold), kind)
-    may = [int(t) for t, n in zip(*heavy) if n > block]
-    sides = {}
-    if may:  # only cells of these terms can be larger than a block
-        hot = records.sparkSession.createDataFrame([(t,) for t in may], "cell bigint")
-        only = records.mapInArrow(_spread(heavy, measure, threshold), kind).select("cell").join(F.broadcast(hot), "cell")
-        sides = {r["cell"]: -(-r["count"] // block) for r in only.groupBy("cell").count().filter(F.col("count") > block).collect()}
-    if not sides:
-        tasks = dealt.select(F.col("cell").alias("task"), "id", "at", "terms", "weights", F.lit(-1).cast("byte").alias("side"))
-    else:
-        hot = records.sparkSession.createDataFrame([(int(c), int(s)) for c, s in sides.items()], "cell bigint, sides int")
-        known = dealt.join(F.broadcast(hot), "cell", "left")
-        own = F.pmod(F.xxhash64("id"), F.coalesce(F.col("sides"), F.lit(1))).cast("int")
-        # block i meets every block j: both kinds of records of the pair (i, j) go to one task
-        other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("sides"), F.lit(1)) - 1))
-        known = known.withColumn("own", own).select("*", other.alias("other"))
-        low, high = F.least("own", "other"), F.greatest("own", "other")
-        side = F.when(low == high, F.lit(-1)).otherwise(F.when(F.col("own") == low, F.lit(0)).otherwise(F.lit(1))).cast("byte")
-        task = F.when(F.col("sides").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high))
-        tasks = known.select(task.alias("task"), "id", "at", "terms", "weights", side.alias("side"))
-    pairs = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join(measure, threshold, spanning), "a bigint, b bigint, distance double")
+    spread = records.mapInArrow(_spread(held, threshold), "cell bigint, id bigint, at int, terms array<bigint>, weights array<double>")
+    cells = records.mapInArrow(_spread(held, threshold, True, code_above(block)), "cell bigint, id bigint, size int").select("cell")
+    tasks = dealt(spread, hot_cells(cells, codes, block)).select("task", "id", "at", "terms", "weights", "side")
+    pairs = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join(threshold), "a bigint, b bigint, distance double")
     return pairs if long is None else pairs.unionByName(long)

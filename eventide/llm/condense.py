@@ -108,17 +108,18 @@ def condense(copies: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndar
 
 def _condensing(least: int, furthest: float):
     def finish(table: pa.Table) -> pa.RecordBatch:
-        a, b, d, c = (table.column(k) for k in ("a", "b", "distance", "copies"))
+        a, b, d, c, root = (table.column(k) for k in ("a", "b", "distance", "copies", "root"))
         edge = b.is_valid().to_numpy()
-        ids, count = a.to_numpy()[~edge], c.to_numpy()[~edge]
+        ids, count, root = a.to_numpy()[~edge], c.to_numpy()[~edge], np.unique(root.to_numpy()[~edge], return_inverse=True)[1]
         order = np.argsort(ids)
-        ids, count = ids[order], count[order]
+        ids, count, root = ids[order], count[order], root[order]
+        group = ids[np.unique(root, return_index=True)[1]][root]  # the first of each group is its smallest
         ea, eb = (np.searchsorted(ids, v) for v in (a.to_numpy()[edge], b.fill_null(0).to_numpy()[edge]))
         label, leaves = condense(count, ea, eb, d.to_numpy()[edge], least, furthest)
         first = np.full(int(label.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, label[label >= 0], ids[label >= 0])
         lead = np.where(label >= 0, np.append(first, 0)[label], 0)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lead, mask=label < 0), pa.array(leaves)], names=["id", "lead", "persistence"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(group), pa.array(lead, mask=label < 0), pa.array(leaves)], names=["id", "group", "lead", "persistence"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -140,7 +141,8 @@ def _condensing(least: int, furthest: float):
 
 
 def clusters(records: DataFrame, least_cosine: float, *, least_size: int = 3, min_samples: int = 2) -> DataFrame:
-    """``(lead, id, persistence)``: the most stable density clusters of vectors; ``lead`` is the smallest id of the cluster, or null for vectors in none.
+    """``(group, lead, id, persistence)``: the most stable density clusters of vectors; ``lead`` is the smallest id of the cluster, or null for vectors in none,
+    ``group`` the smallest id of all that are linked, the hierarchy cut at its furthest distance, 1 - ``least_cosine``.
 
     A cluster has at least ``least_size`` vectors; a linked group of two or more, but fewer than that, is one cluster. ``persistence`` is the density (1 / distance) at which a vector leaves its cluster as the
     distance shrinks; those with the greatest are its most typical members. Every vector has a row. The vectors of one linked group are
@@ -155,16 +157,15 @@ def clusters(records: DataFrame, least_cosine: float, *, least_size: int = 3, mi
     nodes = nodes.select(F.coalesce("root", "rep").alias("root"), F.col("rep").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("distance"), "copies")
     placed = tree.join(root.withColumnRenamed("id", "a"), "a").select("root", "a", "b", "distance", F.lit(0).cast("bigint").alias("copies"))
     rows = nodes.unionByName(placed).repartition("root").sortWithinPartitions("root")
-    found = rows.mapInArrow(_condensing(least_size, 1 - least_cosine), "id bigint, lead bigint, persistence double")
-    all_ = member.join(found.withColumnRenamed("id", "rep"), "rep").select("lead", "id", "persistence")
-    return all_
+    found = rows.mapInArrow(_condensing(least_size, 1 - least_cosine), "id bigint, group bigint, lead bigint, persistence double")
+    return member.join(found.withColumnRenamed("id", "rep"), "rep").select("group", "lead", "id", "persistence")
 
 
 def described(members: DataFrame, sizes: DataFrame, id_col: str, count_col: str, exemplars: int = 3) -> DataFrame:
-    """``(lead, members, doc_count, exemplars)`` of each cluster: how many members, the sum of their counts, and its most persistent members (ties by id)."""
+    """``(lead, members, doc_count, exemplars)`` of each cluster: how many members, the sum of their counts, and its most persistent members (9 digits; ties by id)."""
     count = sizes.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(count_col).alias("n"))
     held = members.filter("lead IS NOT NULL")
     total = held.join(count, "id", "left").groupBy("lead").agg(F.count("*").alias("members"), F.sum(F.coalesce("n", F.lit(0))).alias("doc_count"))
-    best = held.withColumn("k", F.row_number().over(Window.partitionBy("lead").orderBy(F.desc("persistence"), "id"))).filter(F.col("k") <= exemplars)
+    best = held.withColumn("k", F.row_number().over(Window.partitionBy("lead").orderBy(F.desc(F.round("persistence", 9)), "id"))).filter(F.col("k") <= exemplars)
     best = best.groupBy("lead").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda s: s["id"]).alias("exemplars"))
     return total.join(best, "lead")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 
 #: Edges that a task gathers before it reduces them; edges of a contracted graph that one task finishes.
-GATHER, FINISH = 1_000_000, 1_000_000
+GATHER, FINISH = 1_000_000, 5_000
 _EDGE = "ca bigint, cb bigint, distance double, a bigint, b bigint"
 
 
@@ -90,14 +90,14 @@ def reduced(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_reduce, _EDGE)
 
 
-def spanning_forest(edges: DataFrame, finish: int = FINISH) -> tuple[DataFrame, DataFrame]:
+def spanning_forest(edges: DataFrame, finish: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The forest's edges ``(a, b, distance)`` and ``(id, root)`` of every id that has an edge.
 
     ``edges`` are (a BIGINT, b BIGINT, distance DOUBLE), none null; equal edges count once, loops not at all. A contracted graph of at most
-    ``finish`` edges is finished by one task; above that, rounds run on the whole cluster until it is smaller.
+    ``finish`` edges (``FINISH``) is finished by one task; above that, rounds run on the whole cluster until it is smaller.
     """
-    spark = edges.sparkSession
-    runtime.prepare(spark)
+    finish = FINISH if finish is None else finish
+    runtime.prepare(edges.sparkSession)
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("ca"), F.greatest("a", "b").alias("cb"), "distance", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     live = runtime.cut(reduced(edges))
     label = None

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..sources import load
 from .bitmaps import frequencies, marked
 from .condense import clusters, described
-from .density import linked_groups, vectors
+from .density import vectors
 from .encode import encode
+from .hierarchy_sql import CLUSTERS, MEMBERS
 from .leaks import leaks
 from .quality import not_prose, quality
 from .relevance import relevance
@@ -117,8 +118,8 @@ def _cluster_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    groups = linked_groups(_cluster_vectors(spark, sf), 0.7)
-    return groups.filter("id <> lead").select(F.col("lead").cast("int").alias("lead"), F.col("id").cast("int").alias("cid"))
+    groups = clusters(_cluster_vectors(spark, sf), 0.7)
+    return groups.filter("id <> group").select(F.col("group").cast("int").alias("lead"), F.col("id").cast("int").alias("cid"))
 
 
 def _item_leaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,10 +226,13 @@ SELECT min(b) AS lead, a AS cid FROM reach GROUP BY a HAVING min(b) < a
 
 @query
 def p3_members(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters(_cluster_vectors(spark, sf), 0.7).withColumn("persistence", F.round("persistence", 6))
+    return clusters(_cluster_vectors(spark, sf), 0.7).select("lead", "id", F.round("persistence", 6).alias("persistence"))
 
 
 @query
 def p3_clusters(spark: SparkSession, sf: str) -> DataFrame:
     got = described(clusters(_cluster_vectors(spark, sf), 0.7), load(spark, sf, "output_tbl"), "cid", "doc_count")
     return got.withColumn("exemplars", F.array_join("exemplars", " "))
+
+
+ORACLES["p3_members"], ORACLES["p3_clusters"] = MEMBERS, CLUSTERS

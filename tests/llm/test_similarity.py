@@ -7,9 +7,10 @@ import pytest
 from eventide.llm import forest as FO
 from eventide.llm.cells import similar
 from eventide.llm.condense import clusters, condense, described
-from eventide.llm.density import linked_groups, neighbour_graph, vectors
+from eventide.llm.density import neighbour_graph, vectors
 from eventide.llm.forest import forest, spanning_forest
-from eventide.llm.sets import expanded, similar_sets, term_sets
+from eventide.llm.prefix import similar_pairs
+from eventide.llm.sets import classes, expanded, similar_sets, term_sets
 
 
 def sets(n, seed=1):
@@ -50,26 +51,36 @@ def test_similar_sets(spark, threshold):
     assert all(reps[reps[i]] == reps[i] <= i for i in reps) and 5000 not in reps
 
 
-def test_large_cells_use_pivots_and_blocks(spark, monkeypatch):
-    import eventide.llm.cells as cells
+@pytest.mark.parametrize("block, entries", [(20_000, 200_000), (40, 50), (7, 200_000)])
+def test_large_cells_are_dealt_in_blocks(spark, monkeypatch, block, entries):
+    import eventide.llm.prefix as P
 
+    monkeypatch.setattr(P, "ENTRIES", entries)
+    monkeypatch.setattr(P, "PAIRS", 4 * entries)
     r = random.Random(9)
-    records = [(i, sorted({"common", *(f"w{r.randrange(30)}" for _ in range(6))})) for i in range(700)]
-    df = spark.createDataFrame(records, "id long, t array<string>")
-    want = jaccard_pairs(records, 0.6)
-    held = term_sets(df, "id", "t").cache()
-    whole = sorted((x["a"], x["b"]) for x in similar(held, "jaccard", 0.6).collect())
-    assert whole == want
-    # hot cells in blocks: with 30 terms every cell is larger than 40 records
-    blocked = sorted((x["a"], x["b"]) for x in similar(held, "jaccard", 0.6, block=40).collect())
-    assert blocked == want
-    # the second level of pivots, on every cell of 30 records or more
-    rows_ = np.arange(700)
-    lists = [sorted(hash(t) for t in s) for _, s in records]
-    batch = cells.Batch(np.append(0, np.cumsum([len(s) for s in lists])), np.concatenate([np.asarray(s, np.int64) for s in lists]), None, np.zeros(700, np.int64))
-    seen = [(min(a, b), max(a, b)) for i, j in cells._pairs_by_pivots(batch, rows_, 0.4) for a, b in zip(i.tolist(), j.tolist())]
-    assert len(seen) == len(set(seen)) and set(want) <= set(seen)
-    assert monkeypatch is not None
+    records = [(i, sorted({"common", *(f"w{r.randrange(30)}" for _ in range(6))})) for i in range(400)]
+    held, _ = classes(term_sets(spark.createDataFrame(records, "id long, t array<string>"), "id", "t"))
+    kept = {r["id"] for r in held.collect()}
+    want = jaccard_pairs([x for x in records if x[0] in kept], 0.6)
+    got = similar_pairs(held, 0.6, block=block).collect()  # with 30 terms every cell is larger than 40 records
+    assert sorted((x["a"], x["b"]) for x in got) == want
+    sets_ = dict(records)
+    assert all(x["distance"] == pytest.approx(1 - len({*sets_[x["a"]]} & {*sets_[x["b"]]}) / len({*sets_[x["a"]]} | {*sets_[x["b"]]})) for x in got)
+
+
+def test_any_order_of_terms_is_right(spark, monkeypatch):
+    import eventide.llm.order as O
+
+    monkeypatch.setattr(O, "STEPS", 1)  # a coarse table
+    a = sets(150, seed=5)
+    pairs, members = similar_sets([(spark.createDataFrame(a, "id int, t array<string>"), "id", "t")], 0.5)
+    assert sorted(map(tuple, expanded(pairs, members).collect())) == jaccard_pairs(a, 0.5)
+
+
+def test_an_id_with_several_sets_counts_once(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["c", "d"]), (2, ["a", "b"]), (3, ["c", "d"])], "id int, t array<string>")
+    pairs, members = similar_sets([(df, "id", "t")], 0.6)
+    assert len(expanded(pairs, members).collect()) == 1 and members.filter("id = 1").count() == 1
 
 
 def test_many_copies(spark):
@@ -89,10 +100,9 @@ def test_empty(spark):
     pairs, members = similar_sets([(none, "id", "t")], 0.6)
     assert expanded(pairs, members).count() == 0
     v = spark.createDataFrame([], "cid int, term string, weight double")
-    assert linked_groups(vectors(v, "cid", "term", "weight"), 0.7).count() == 0
     assert clusters(vectors(v, "cid", "term", "weight"), 0.7).count() == 0
     with pytest.raises(ValueError):
-        similar(none, "jaccard", 0)
+        similar(none, 0)
 
 
 def weighted(n, seed=2):
@@ -138,7 +148,7 @@ def test_linked_groups(spark):
     data = rows_of(v) + rows_of(v)[:40] + bad
     data = [(i, t.upper() if t and k % 5 == 0 else t, w) for k, (i, t, w) in enumerate(data)]
     df = spark.createDataFrame(data, "id int, term string, weight double")
-    got = {r["id"]: r["lead"] for r in linked_groups(vectors(df, "id", "term", "weight"), 0.7).collect()}
+    got = {r["id"]: r["group"] for r in clusters(vectors(df, "id", "term", "weight"), 0.7).collect()}
     pairs = [(a, b) for a in v for b in v if a < b and cosine(v[a], v[b]) >= 0.7]
     assert got == groups(v, pairs) and len(set(got.values())) < len(v)
 
@@ -246,25 +256,15 @@ def test_small_groups_are_described(spark):
 
 
 @pytest.mark.parametrize("block", [20_000, 15])
-def test_spanning_join_links_the_same(spark, block):
-    import eventide.llm.cells as cells
-
+def test_dense_cells(spark, block):
     r = random.Random(11)
     v = {}
     for i in range(160):  # dense groups around a few words, and records between them
         k = r.randrange(4)
         v[i] = {f"hot{k}": 3.0, f"hot{(k + r.randrange(2)) % 4}": r.choice([0.1, 2.5]), f"n{r.randrange(60)}": r.random(), "all": 0.2}
     df = spark.createDataFrame(rows_of(v), "id int, term string, weight double")
-    held = vectors(df, "id", "term", "weight").cache()
-    every = similar(held, "cosine", 0.8, block=block).collect()
-    pairs = {(a, b) for a in v for b in v if a < b and cosine(v[a], v[b]) >= 0.8}
-    assert sorted((x["a"], x["b"]) for x in every) == sorted(pairs)
-    some = similar(held, "cosine", 0.8, block=block, spanning=True).collect()
-    assert {(x["a"], x["b"]) for x in some} <= pairs and len(some) < len(pairs)
-    assert groups(v, [(x["a"], x["b"]) for x in some]) == groups(v, pairs)
-    assert cells.SPAN_FROM < 160
-    with pytest.raises(ValueError):
-        neighbour_graph(held, 0.7, 2, spanning=True)
+    every = similar(vectors(df, "id", "term", "weight").cache(), 0.8, block=block).collect()
+    assert sorted((x["a"], x["b"]) for x in every) == sorted((a, b) for a in v for b in v if a < b and cosine(v[a], v[b]) >= 0.8)
 
 
 @pytest.mark.parametrize("longest", [1, 7, 10])
@@ -272,14 +272,10 @@ def test_long_records(spark, monkeypatch, longest):
     import eventide.llm.cells as cells
 
     monkeypatch.setattr(cells, "LONG", longest)
-    a = sets(150)
-    df = spark.createDataFrame(a, "id int, t array<string>")
-    pairs, members = similar_sets([(df, "id", "t")], 0.6)
-    assert sorted(map(tuple, expanded(pairs, members).collect())) == jaccard_pairs(a, 0.6)
     v = weighted(100)
     w = spark.createDataFrame(rows_of(v), "id int, term string, weight double")
-    got = linked_groups(vectors(w, "id", "term", "weight"), 0.7).collect()
-    assert {r["id"]: r["lead"] for r in got} == groups(v, [(x, y) for x in v for y in v if x < y and cosine(v[x], v[y]) >= 0.7])
+    got = clusters(vectors(w, "id", "term", "weight"), 0.7).collect()
+    assert {r["id"]: r["group"] for r in got} == groups(v, [(x, y) for x in v for y in v if x < y and cosine(v[x], v[y]) >= 0.7])
 
 
 def test_very_long_sets(spark):
