@@ -28,7 +28,7 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     An id counts once; of several sets of one id the one with the greatest key counts. Sets are told apart by a key of 128 bits, so terms move once.
     """
     keyed = rows.withColumns({"k": F.xxhash64("terms"), "l": F.xxhash64(F.lit(1), "terms")})
-    one = keyed.groupBy("id").agg(F.max(F.struct("k", "l")).alias("m")).select("id", "m.k", "m.l")
+    one = runtime.cut(keyed.groupBy("id").agg(F.max(F.struct("k", "l")).alias("m")).select("id", "m.k", "m.l"))
     first = one.groupBy("k", "l").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     sets = keyed.groupBy("k", "l").agg(F.first("terms").alias("terms")).join(first, ["k", "l"])
     member = runtime.cut(one.join(first, ["k", "l"]).select("id", "rep", "copies"))
