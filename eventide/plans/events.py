@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions import register, register_model
 from ..operators import aggregates, cluster, eventtype, grid, tfidf, tokenize
-from ..sources import load
+from ..sources import lines, load, save_files
 from .passes import ASSIGNED, bucket_pass, cosine_pass, distance_pass, jaccard_pass
 from .stems import english_terms
 
@@ -214,6 +214,29 @@ def sql_process_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT t.term, sum(t.count) AS n FROM __posts, LATERAL process_text(txt) AS t GROUP BY t.term")
 
 
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT txt, count(*) AS n, count(DISTINCT txt) AS ids FROM (SELECT source AS txt FROM documents WHERE source IS NOT NULL) GROUP BY txt")
+def text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A text file with a document per line, written and read again."""
+    path = f"{runtime.work_folder(spark)}/lines-{uuid.uuid4().hex}"
+    load(spark, sf, "documents").filter("source IS NOT NULL").select("source").write.text(path)
+    got = lines(spark, path)
+    return got.groupBy("txt").agg(F.count("*").alias("n"), (F.count_distinct("doc_id") / F.count("*")).cast("bigint").alias("ids"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def file_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    """A table written as CSV and as JSON; what both give back."""
+    path = f"{runtime.work_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows = load(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for kind in ("csv", "json"):
+        save_files(rows, f"{path}/{kind}", kind)
+    shape = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    return spark.read.schema(shape).option("header", True).csv(f"{path}/csv").intersect(spark.read.schema(shape).json(f"{path}/json"))
+
+
 # --- groups -----------------------------------------------------------------------------------------------------------
 
 

@@ -41,21 +41,20 @@ def live_document_frequencies(stream: DataFrame, text: str) -> DataFrame:
 def live_single_pass(stream: DataFrame, id_col: str, ts_col: str, text: str, idf: DataFrame, threshold: float, key: str) -> DataFrame:
     """``(key, id, cid)``: a clustering pass per key that goes on from batch to batch, with a fixed idf (term, idf).
 
-    Documents come in the order of batches, within a batch by (ts, id). Terms that the idf table hasn't weigh 0. The state of a key is its fold.
+    Documents come in the order of batches, within a batch by (ts, id). Terms that the idf table hasn't weigh 0. The state of a key is its fold,
+    which grows with the terms of its clusters; a key that ends (a day) keeps it small.
     """
     runtime.prepare(stream.sparkSession)
-    words = simple_terms(F.col(text))
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("bigint").alias("id"), F.col(ts_col).alias("ts"), F.coalesce(words, F.array().cast("array<string>")).alias("w"))
-    weights = idf.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in idf.toLocalIterator()})
+    docs = stream.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("bigint").alias("id"), F.col(ts_col).alias("ts"), simple_terms(F.col(text)).alias("w"))
+    rows = docs.select("key", "id", "ts", F.size("w").alias("size"), F.explode_outer("w").alias("term"))
+    rows = rows.join(idf.select("term", "idf"), "term", "left")  # a stream meets a table by join, however large the table is
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fold = pickle.loads(state.get[0]) if state.exists else CosineFold(threshold)
-        known = weights.value
-        group = pd.concat(list(batches)).sort_values(["ts", "id"], na_position="last")
         out = []
-        for i, w in zip(group["id"], group["w"]):
-            counts = pd.Series(list(w), dtype=object).value_counts()
-            out.append((k[0], i, fold.add(list(counts.index), [n / len(w) * known.get(t, 0.0) for t, n in counts.items()])[0]))
+        for (_, i), own in pd.concat(list(batches)).groupby(["ts", "id"], dropna=False):  # in their order, null times last
+            weights = (own["idf"].fillna(0.0) / own["size"]).groupby(own["term"]).sum()
+            out.append((k[0], i, fold.add(list(weights.index), list(weights))[0]))
         state.update((pickle.dumps(fold),))
         yield pd.DataFrame(out, columns=["key", "id", "cid"])
 
