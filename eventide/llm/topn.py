@@ -79,14 +79,14 @@ def merge_runs(runs: list[tuple[list, list, list, list[int]]], n: int) -> Iterat
     at = [0] * len(runs)
     tree = LoserTree([(r[0][0], r[1][0], r[2][0]) for r in runs])
     heads, replay, run = tree.heads, tree.replay, tree.winner
-    group, taken = None, []
+    group, taken = None, set()
     while heads[run] is not None:
         key = heads[run]
         groups, scores, items, nexts = runs[run]
         if key[0] != group:
-            group, taken = key[0], []
+            group, taken = key[0], set()
         if len(taken) < n and key[2] not in taken:
-            taken.append(key[2])
+            taken.add(key[2])
             yield key
         at[run] = k = nexts[at[run]] if len(taken) >= n else at[run] + 1
         heads[run] = (groups[k], scores[k], items[k]) if k < len(groups) else None
