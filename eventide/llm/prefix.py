@@ -1,7 +1,7 @@
 """All similar pairs of sets, by prefix filtering.
 
 Terms have one order, the rarest first. A set of n terms that is similar to another shares with it a term among its first n - ceil(t n) + 1, so
-both meet in the cell of such a term. What goes to a cell is light: an id, the number of terms, the place of the cell's term and a sketch of 128
+both meet in the cell of such a term. What goes to a cell is light: an id, the number of terms, the place of the cell's term and a sketch of 64
 bits. Sizes, places and sketches bound the overlap of two sets; the terms are fetched once for each pair that they leave, and decide.
 
 Why pivots drawn from the sets aren't used is told in the README, with figures.
@@ -22,7 +22,7 @@ from .order import code_above, codes_of, dealt, frequency_codes, hot_cells
 
 #: Records of a cell that one task compares, pairs looked at together, entries gathered before they are compared, and terms spread together.
 BLOCK, PAIRS, ENTRIES, TERMS = 20_000, 1 << 19, 200_000, 1 << 20
-_ENTRY = "cell bigint, id bigint, place bigint, s0 bigint, s1 bigint"
+_ENTRY = "cell bigint, id bigint, place bigint, sketch bigint"
 _EPS = 1e-9
 
 
@@ -55,23 +55,21 @@ def _spread(held, threshold: float, least_code: int = 0):
                 place = np.arange(len(terms)) - first[record]
                 keep = size[record] - place >= threshold * size[record] - _EPS
                 rows = np.flatnonzero(keep & (code >= least_code))
-                bit = (terms.view(np.uint64) >> np.uint64(24)) & np.uint64(127)
-                one = np.uint64(1) << (bit & np.uint64(63))
-                marks = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), first).view(np.int64) for half in range(2)]
+                sketch = np.bitwise_or.reduceat(np.uint64(1) << ((terms.view(np.uint64) >> np.uint64(24)) & np.uint64(63)), first).view(np.int64)
                 own = record[rows]
                 packed = size[own] << 32 | place[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (terms[rows], batch.column("id").to_numpy()[own], packed, marks[0][own], marks[1][own])], names=["cell", "id", "place", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (terms[rows], batch.column("id").to_numpy()[own], packed, sketch[own])], names=["cell", "id", "place", "sketch"])
 
     return spread
 
 
 def _candidates(threshold: float):
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        task, ids, place, side, s0, s1 = (table.column(c).to_numpy() for c in ("task", "id", "place", "side", "s0", "s1"))
+        task, ids, place, side, sketch = (table.column(c).to_numpy() for c in ("task", "id", "place", "side", "sketch"))
         cell = np.cumsum(np.append(0, task[1:] != task[:-1]))
         size, place = place >> 32, place & 0xFFFFFFFF
         order = np.lexsort((size, cell))
-        cell, ids, size, place, side, s0, s1 = (c[order] for c in (cell, ids, size, place, side, s0, s1))
+        cell, ids, size, place, side, sketch = (c[order] for c in (cell, ids, size, place, side, sketch))
         span = int(size.max()) + 2
         # sorted by size in its cell, a record's partners are the next ones, up to the size that its own can reach
         last = np.searchsorted(cell * span + size, cell * span + np.minimum(np.floor(size / threshold + _EPS).astype(np.int64), span - 1), "right")
@@ -87,7 +85,7 @@ def _candidates(threshold: float):
             need = threshold / (1 + threshold) * (size[i] + size[j]) - _EPS
             keep = np.minimum(size[i] - place[i], size[j] - place[j]) >= need  # what is left from their first common term on
             i, j, need = i[keep], j[keep], need[keep]
-            only = lambda a, b: sum(np.bitwise_count((s[a] & ~s[b]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
+            only = lambda a, b: np.bitwise_count((sketch[a] & ~sketch[b]).view(np.uint64)).astype(np.int64)
             keep = np.minimum(size[i] - only(i, j), size[j] - only(j, i)) >= need
             i, j = i[keep], j[keep]
             if len(i):
@@ -154,7 +152,7 @@ def similar_pairs(records: DataFrame, threshold: float, *, block: int | None = N
     held = spark.sparkContext.broadcast(codes)
     entries = records.mapInArrow(_spread(held, threshold), _ENTRY)
     hot = hot_cells(records.mapInArrow(_spread(held, threshold, code_above(block)), _ENTRY).select("cell"), codes, block)
-    tasks = dealt(entries, hot).select("task", "id", "place", "side", "s0", "s1")
+    tasks = dealt(entries, hot).select("task", "id", "place", "side", "sketch")
     pairs = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct()
     side = lambda c: records.select(F.col("id").alias(c), F.col("terms").alias(f"t{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, distance double")
