@@ -4,6 +4,9 @@ Edges are taken in ascending order. A node of the hierarchy needs only a size, a
 densities at which its members leave; so states merge in constant time. Where two clusters meet, both end and a wider one begins; smaller
 parts that join a cluster are members that leave it at that density. Of a cluster and those within it, whichever is more stable is kept.
 A linked group of two or more that never reaches the least size is one cluster, whole.
+
+The edges of a group are cut into bands of bounded size in their order. A task takes the next band of a group with the states of the parts that its edges
+join, and leaves one state for each part that it makes; so no task holds a group, and groups go on side by side.
 """
 
 from __future__ import annotations
@@ -19,107 +22,134 @@ from .. import runtime
 from .density import neighbour_graph
 from .forest import spanning_forest
 
-#: The least distance that tells densities apart; rows of a partition that are condensed together.
-FINEST, TOGETHER = 1e-3, 200_000
+#: The least distance that tells densities apart; edges of a band; rows of a partition that are condensed together.
+FINEST, BAND, TOGETHER = 1e-3, 250_000, 200_000
+#: A part of a group: its size, and either its open cluster (``cid``: the sum of what left it, the worth of the clusters within it) or its loose members, with
+#: the density at which the last of them joined.
+_STATE = "root bigint, id bigint, size bigint, cid string, total double, inner double, within boolean, loose array<bigint>, joined double"
+_STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
+_OUT = f"kind tinyint, {_STATE}"
+_HOME, _CLUSTER, _MOVED, _PART = range(4)
+
+
+class Part:
+    """The state of one part."""
+
+    __slots__ = ("cid", "id", "inner", "joined", "loose", "size", "total", "within")
+
+    def __init__(self, id: int, size: int, cid: str | None, total: float, inner: float, within: bool, loose: list[int] | None, joined: float):
+        self.id, self.size, self.cid, self.total, self.inner, self.within, self.loose, self.joined = id, size, cid, total, inner, within, loose, joined
 
+    def closed(self, density: float) -> tuple[bool, float]:
+        """Whether its cluster is chosen before those within it, and the worth of the better ones, where it ends at ``density``."""
+        own = self.total - self.size * density
+        return not self.within or own >= self.inner, max(own, self.inner) if self.within else own
 
-def condense(copies: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, least: int, furthest: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each node, the number of its selected cluster (-1: none) and the density at which it leaves it.
 
-    ``copies`` are the vectors that a node stands for; ``a``-``b`` are the edges of a forest over nodes 0, 1, ...
+class Condenser:
+    """Takes edges in ascending order and collects rows ``(kind, root, id, size, cid, total, inner, within, loose, joined)``.
+
+    A home row tells the cluster (``cid``) of a node (``id``) and the density (``total``) at which it leaves it; a cluster row has in ``cid`` a cluster
+    and, after a space, the one around it, and in ``within`` whether it is chosen; a moved row tells that part ``id`` is in part ``size`` now.
     """
-    n = len(copies)
-    above = list(range(n))
-    size = copies.tolist()
-    density = [1 / max(x, FINEST) for x in distance.tolist()]
-    top, end = 1 / FINEST, 1 / max(furthest, FINEST)
-    loose: list[list[int] | None] = [[k] for k in range(n)]
-    opened, joined = [-1] * n, [top] * n
-    home, leaves = [-1] * n, [0.0] * n
-    sums: list[float] = []
-    sizes: list[int] = []
-    births: list[float] = []
-    inner: list[list[int]] = []
-
-    def begin(members: list[int], total: int, at: float, children: list[int]) -> int:
+
+    def __init__(self, root: int, band: int, least: int):
+        self.root, self.band, self.least = root, band, least
+        self.parts: dict[int, Part] = {}
+        self.above: dict[int, int] = {}
+        self.rows: list[tuple] = []
+        self.opened = 0
+
+    def home(self, node: int, cid: str, density: float) -> None:
+        self.rows.append((_HOME, self.root, node, 0, cid, density, 0.0, False, None, 0.0))
+
+    def cluster(self, cid: str, parent: str | None, chosen: bool) -> None:
+        self.rows.append((_CLUSTER, self.root, 0, 0, cid if parent is None else f"{cid} {parent}", 0.0, 0.0, chosen, None, 0.0))
+
+    def begin(self, part: Part, members: list[int], density: float) -> None:
+        """Opens the cluster of a part."""
+        part.cid = f"{self.root}:{self.band}:{self.opened}"
+        self.opened += 1
         for k in members:
-            home[k], leaves[k] = len(sums), at
-        sums.append(total * at)
-        sizes.append(total)
-        births.append(end)
-        inner.append(children)
-        return len(sums) - 1
-
-    for k in range(n):
-        if size[k] >= least:
-            opened[k] = begin([k], size[k], top, [])
-            loose[k] = None
-
-    def find(k: int) -> int:
+            self.home(k, part.cid, density)
+        part.total, part.inner, part.within, part.loose = part.size * density, 0.0, False, None
+
+    def add(self, part: Part) -> None:
+        self.parts[part.id] = part
+        self.above[part.id] = part.id
+        if part.cid is None and part.size >= self.least:  # a node of many copies
+            self.begin(part, part.loose, 1 / FINEST)
+
+    def find(self, k: int) -> int:
+        above = self.above
         while above[k] != k:
             above[k] = above[above[k]]
             k = above[k]
         return k
 
-    for e in np.lexsort((b, a, distance)).tolist():
-        x, y, at = find(int(a[e])), find(int(b[e])), density[e]
-        if x == y:
-            continue
-        if size[x] < size[y]:
+    def edge(self, a: int, b: int, distance: float) -> None:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return
+        at, x, y = 1 / max(distance, FINEST), self.parts[a], self.parts[b]
+        if x.size < y.size:
             x, y = y, x
-        cx, cy = opened[x], opened[y]
-        above[y] = x
-        size[x] += size[y]
-        if cx >= 0 and cy >= 0:
-            births[cx] = births[cy] = at
-            opened[x] = begin([], size[x], at, [cx, cy])
-        elif cx >= 0:
-            for k in loose[y]:
-                home[k], leaves[k] = cx, at
-            sums[cx] += size[y] * at
-            sizes[cx] = size[x]
-        elif size[x] >= least:
-            opened[x] = begin(loose[x] + loose[y], size[x], at, [])
-            loose[x] = None
+        self.above[y.id] = x.id
+        del self.parts[y.id]
+        if x.cid and y.cid:
+            ended = [(p.cid, *p.closed(at)) for p in (x, y)]
+            x.size += y.size
+            self.begin(x, [], at)
+            x.inner, x.within = sum(worth for _, _, worth in ended), True
+            for cid, chosen, _ in ended:
+                self.cluster(cid, x.cid, chosen)
+        elif x.cid:
+            for k in y.loose:
+                self.home(k, x.cid, at)
+            x.total += y.size * at
+            x.size += y.size
         else:
-            loose[x] += loose[y]
-            joined[x] = at
-        loose[y] = None
-
-    for k in range(n):
-        if above[k] == k and opened[k] < 0 and size[k] >= 2:
-            opened[k] = begin(loose[k], size[k], joined[k], [])
-
-    value, chosen = [0.0] * len(sums), [False] * len(sums)
-    for c in range(len(sums)):
-        own, rest = sums[c] - sizes[c] * births[c], sum(value[k] for k in inner[c])
-        chosen[c] = not inner[c] or own >= rest
-        value[c] = max(own, rest) if inner[c] else own
-    label = list(range(len(sums)))
-    for c in range(len(sums) - 1, -1, -1):  # wider clusters come later
-        held = label[c] != c or chosen[c]
-        if not held:
-            label[c] = -1
-        for k in inner[c]:
-            if held:
-                label[k] = label[c]
-    return np.array([-1 if h < 0 else label[h] for h in home], np.int64), np.array(leaves)
-
-
-def _condensing(least: int, furthest: float):
+            x.size += y.size
+            x.loose = x.loose + y.loose
+            x.joined = at
+            if x.size >= self.least:
+                self.begin(x, x.loose, at)
+
+    def end(self, last: bool, furthest: float) -> list[tuple]:
+        """All rows; ``last`` closes the parts at the furthest distance, else they are given as states."""
+        for p in list(self.parts.values()):
+            if not last:
+                self.rows.append((_PART, self.root, p.id, p.size, p.cid, p.total, p.inner, p.within, p.loose, p.joined))
+                continue
+            if p.cid is None and p.size >= 2:
+                self.begin(p, p.loose, p.joined)
+            if p.cid:
+                self.cluster(p.cid, None, p.closed(1 / max(furthest, FINEST))[0])
+        if not last:
+            self.rows += [(_MOVED, self.root, k, self.find(k), None, 0.0, 0.0, False, None, 0.0) for k in self.above if self.above[k] != k]
+        return self.rows
+
+
+def _condensing(band: int, least: int, furthest: float):
+    """Takes rows (root, final, a, b, distance, state of a part where b is null), together for each root."""
+
     def finish(table: pa.Table) -> pa.RecordBatch:
-        a, b, d, c, root = (table.column(k) for k in ("a", "b", "distance", "copies", "root"))
-        edge = b.is_valid().to_numpy()
-        ids, count, root = a.to_numpy()[~edge], c.to_numpy()[~edge], np.unique(root.to_numpy()[~edge], return_inverse=True)[1]
-        order = np.argsort(ids)
-        ids, count, root = ids[order], count[order], root[order]
-        group = ids[np.unique(root, return_index=True)[1]][root]  # the first of each group is its smallest
-        ea, eb = (np.searchsorted(ids, v) for v in (a.to_numpy()[edge], b.fill_null(0).to_numpy()[edge]))
-        label, leaves = condense(count, ea, eb, d.to_numpy()[edge], least, furthest)
-        first = np.full(int(label.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, label[label >= 0], ids[label >= 0])
-        lead = np.where(label >= 0, np.append(first, 0)[label], 0)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(group), pa.array(lead, mask=label < 0), pa.array(leaves)], names=["id", "group", "lead", "persistence"])
+        root, final = table.column("root").to_numpy(), table.column("final").to_numpy()
+        edge = table.column("b").is_valid().to_numpy()
+        rows: list[tuple] = []
+        begin = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(root)]):
+            c = Condenser(int(root[lo]), band, least)
+            own = table.slice(lo, hi - lo)
+            parts = own.filter(pa.array(~edge[lo:hi])).select(_STATE_NAMES[1:])
+            for v in zip(*(x.to_pylist() for x in parts.columns)):
+                c.add(Part(*v))
+            a, b, ta, tb, d = (own.filter(pa.array(edge[lo:hi])).column(k).to_numpy() for k in ("a", "b", "ta", "tb", "distance"))
+            for e in np.lexsort((tb, ta, d)).tolist():
+                c.edge(int(a[e]), int(b[e]), float(d[e]))
+            rows += c.end(bool(final[lo]), furthest)
+        types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 10, types)], names=["kind", *_STATE_NAMES])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -129,7 +159,7 @@ def _condensing(least: int, furthest: float):
             if n >= TOGETHER:
                 table = pa.Table.from_batches(held)
                 root = table.column("root").to_numpy()
-                last = int(np.searchsorted(root, root[-1]))  # its component may go on
+                last = int(np.searchsorted(root, root[-1]))  # its rows may go on
                 if last:
                     yield finish(table.slice(0, last))
                 held = table.slice(last).to_batches()
@@ -140,13 +170,69 @@ def _condensing(least: int, furthest: float):
     return run
 
 
+def condensed(nodes: DataFrame, tree: DataFrame, least: int, furthest: float, band: int | None = None) -> DataFrame:
+    """``(id, cid, persistence)``: the selected cluster of each node that is in one, and the density at which the node leaves it.
+
+    ``nodes`` are (root, id, copies), a node for each different vector, ``tree`` the forest's edges (root, a, b, distance). Each step takes
+    the next band of about ``band`` edges of every group that has one left.
+    """
+    band = BAND if band is None else band
+    edges = tree.count()
+    placed = tree.repartitionByRange(-(-edges // band) or 1, "root", "distance", "a", "b").withColumn("band", F.spark_partition_id())
+    placed = runtime.cut(placed)
+    span = placed.groupBy("root").agg(F.min("band").alias("first"), F.max("band").alias("last"))
+    steps = (span.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0) + 1
+    many = runtime.cut(span)
+    placed = placed.join(many, "root").select("root", (F.col("band") - F.col("first")).alias("step"), (F.col("last") - F.col("first")).alias("end"), "a", "b", "distance")
+    empty = {"size": F.lit(1).cast("bigint"), "cid": F.lit(None).cast("string"), "total": F.lit(0.0), "inner": F.lit(0.0), "within": F.lit(False), "loose": F.lit(None).cast("array<bigint>"), "joined": F.lit(1 / FINEST)}
+    parts = nodes.join(many.select("root", (F.col("last") - F.col("first")).alias("end")), "root", "left").select("root", F.coalesce("end", F.lit(0)).alias("end"), "id", *(v.alias(k) for k, v in {**empty, "size": F.col("copies"), "loose": F.array("id")}.items()))
+    where = None  # the part of each node of the groups that go on
+    done = []
+    for step in range(steps):
+        now = placed.filter(F.col("step") == step).withColumns({"ta": F.col("a"), "tb": F.col("b")})
+        own = parts
+        if step:
+            for c in ("a", "b"):
+                now = now.drop(c).join(where.select(F.col("node").alias(f"t{c}"), F.col("part").alias(c)), f"t{c}")
+        if steps > 1:  # a group is connected, so a part that its next edges don't touch waits for later ones
+            touched = now.select(F.col("a").alias("id")).union(now.select(F.col("b").alias("id"))).distinct()
+            waiting = parts.filter(F.col("end") > 0).join(touched, "id", "left_anti")
+            own = parts.filter((F.col("end") == 0) & F.lit(step == 0)).unionByName(parts.filter(F.col("end") > 0).join(touched, "id", "left_semi").select(parts.columns))
+        last = (F.col("end") == step).alias("final")
+        none = F.lit(None)
+        rows = own.select("root", last, none.cast("bigint").alias("a"), none.cast("bigint").alias("b"), F.lit(0.0).alias("distance"), none.cast("bigint").alias("ta"), none.cast("bigint").alias("tb"), *_STATE_NAMES[1:])
+        rows = rows.unionByName(now.select("root", last, "a", "b", "distance", "ta", "tb", F.lit(0).cast("bigint").alias("id"), *(v.alias(k) for k, v in empty.items())))
+        # by a hash of its own: a union of joins by root looks as if it were laid out by root already, which a broadcast chosen at run time undoes
+        out = runtime.cut(rows.repartition(F.xxhash64("root")).sortWithinPartitions("root").mapInArrow(_condensing(step, least, furthest), _OUT))
+        done.append(out)
+        if step + 1 < steps:
+            ends = many.select("root", (F.col("last") - F.col("first")).alias("end"))
+            made = out.filter(F.col("kind") == _PART).join(ends, "root").select("root", "end", *_STATE_NAMES[1:])
+            parts = runtime.cut(waiting.select(made.columns).unionByName(made))
+            moved = out.filter(F.col("kind") == _MOVED).select(F.col("id").alias("part"), F.col("size").alias("to"))
+            if where is None:
+                where = nodes.join(ends.filter("end > 0"), "root").select(F.col("id").alias("node"), F.col("id").alias("part"))
+            where = runtime.cut(where.join(moved, "part", "left").select("node", F.coalesce("to", "part").alias("part")))
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    # the widest chosen cluster around each one, by doubling the way to the top
+    name = F.split("cid", " ")
+    way = rows.filter(F.col("kind") == _CLUSTER).select(name[0].alias("cid"), F.try_element_at(name, F.lit(2)).alias("up"), "within")
+    way = runtime.cut(way.select("cid", "up", F.when(F.col("within"), F.col("cid")).alias("best")))
+    while way.filter("up IS NOT NULL").limit(1).count():
+        further = way.select(F.col("cid").alias("up"), F.col("up").alias("up2"), F.col("best").alias("best2"))
+        way = runtime.cut(way.join(further, "up", "left").select("cid", F.col("up2").alias("up"), F.coalesce("best2", "best").alias("best")))
+    homes = rows.filter(F.col("kind") == _HOME).select("id", "cid", F.col("total").alias("persistence"))
+    return homes.join(way.select("cid", "best"), "cid").select("id", F.col("best").alias("cid"), "persistence")
+
+
 def clusters(records: DataFrame, least_cosine: float, *, least_size: int = 3, min_samples: int = 2) -> DataFrame:
     """``(group, lead, id, persistence)``: the most stable density clusters of vectors; ``lead`` is the smallest id of the cluster, or null for vectors in none,
     ``group`` the smallest id of all that are linked, the hierarchy cut at its furthest distance, 1 - ``least_cosine``.
 
     A cluster has at least ``least_size`` vectors; a linked group of two or more, but fewer than that, is one cluster. ``persistence`` is the density (1 / distance) at which a vector leaves its cluster as the
-    distance shrinks; those with the greatest are its most typical members. Every vector has a row. The vectors of one linked group are
-    condensed by one task, with some 100 bytes for each different vector; equal ones are one node.
+    distance shrinks; those with the greatest are its most typical members. Every vector has a row.
     """
     if least_size < 2:
         raise ValueError("least_size must be 2 or more")
@@ -154,11 +240,14 @@ def clusters(records: DataFrame, least_cosine: float, *, least_size: int = 3, mi
     tree, root = spanning_forest(edges)
     member = runtime.cut(member)
     nodes = member.groupBy("rep").agg(F.count("*").alias("copies")).join(root.withColumnRenamed("id", "rep"), "rep", "left")
-    nodes = nodes.select(F.coalesce("root", "rep").alias("root"), F.col("rep").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("distance"), "copies")
-    placed = tree.join(root.withColumnRenamed("id", "a"), "a").select("root", "a", "b", "distance", F.lit(0).cast("bigint").alias("copies"))
-    rows = nodes.unionByName(placed).repartition("root").sortWithinPartitions("root")
-    found = rows.mapInArrow(_condensing(least_size, 1 - least_cosine), "id bigint, group bigint, lead bigint, persistence double")
-    return member.join(found.withColumnRenamed("id", "rep"), "rep").select("group", "lead", "id", "persistence")
+    nodes = runtime.cut(nodes.select(F.coalesce("root", "rep").alias("root"), F.col("rep").alias("id"), "copies"))
+    placed = tree.join(root.withColumnRenamed("id", "a"), "a").select("root", "a", "b", "distance")
+    home = condensed(nodes, placed, least_size, 1 - least_cosine)
+    found = nodes.join(home, "id", "left").select("root", F.col("id").alias("rep"), "cid", F.coalesce("persistence", F.lit(0.0)).alias("persistence"))
+    group = nodes.groupBy("root").agg(F.min("id").alias("group"))
+    lead = found.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("rep").alias("lead"))
+    found = found.join(group, "root").join(lead, "cid", "left").select("rep", "group", "lead", "persistence")
+    return member.join(found, "rep").select("group", "lead", "id", "persistence")
 
 
 def described(members: DataFrame, sizes: DataFrame, id_col: str, count_col: str, exemplars: int = 3) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 
 #: Edges that a task gathers before it reduces them; edges of a contracted graph that one task finishes.
-GATHER, FINISH = 1_000_000, 5_000
+GATHER, FINISH = 1_000_000, 50_000
 _EDGE = "ca bigint, cb bigint, distance double, a bigint, b bigint"
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from eventide.llm import forest as FO
 from eventide.llm.cells import similar
-from eventide.llm.condense import clusters, condense, described
+from eventide.llm.condense import Condenser, Part, clusters, described
 from eventide.llm.density import neighbour_graph, vectors
 from eventide.llm.forest import forest, spanning_forest
 from eventide.llm.prefix import similar_pairs
@@ -214,18 +214,72 @@ def test_forest_in_a_task_is_kruskal():
     assert FO.GATHER > 0 and len(nodes) == len(roots)
 
 
+def condense(copies, edges, least, furthest, bands=1):
+    """(cluster, density) of each node, by the classes that a task uses; the edges in some bands."""
+    edges = sorted(edges, key=lambda e: (e[2], e[0], e[1]))
+    parts = [Part(k, n, None, 0.0, 0.0, False, [k], 1000.0) for k, n in enumerate(copies)]
+    rows, at, size = [], list(range(len(copies))), -(-len(edges) // bands)
+    for band in range(bands):
+        c = Condenser(0, band, least)
+        for p in parts:
+            c.add(p)
+        for a, b, d in edges[band * size : (band + 1) * size]:
+            c.edge(at[a], at[b], d)
+        got = c.end(band == bands - 1, furthest)
+        parts = [Part(*r[2:]) for r in got if r[0] == 3]
+        moved = {r[2]: r[3] for r in got if r[0] == 2}
+        at = [moved.get(x, x) for x in at]
+        rows += [r for r in got if r[0] < 2]
+    up = {r[4].split()[0]: (r[4].split() + [None])[1] for r in rows if r[0] == 1}
+    chosen = {r[4].split()[0]: r[7] for r in rows if r[0] == 1}
+    out = [(None, 0.0)] * len(copies)
+    for r in rows:
+        if r[0] == 0:
+            best, c = None, r[4]
+            while c is not None:
+                best, c = (c if chosen[c] else best), up[c]
+            out[r[2]] = (best, r[5])
+    return out
+
+
 def test_condense_keeps_the_stable_clusters():
     # two tight triples, joined far away, and a loose point
-    a, b = np.array([0, 1, 3, 4, 2, 5]), np.array([1, 2, 4, 5, 3, 6])
-    d = np.array([0.05, 0.05, 0.04, 0.04, 0.29, 0.3])
-    label, leaves = condense(np.ones(7, int), a, b, d, 3, 0.3)
-    assert len({*label[:3].tolist()}) == len({*label[3:6].tolist()}) == 1 and label[0] != label[3] and label[6] == -1
-    assert leaves[0] == pytest.approx(20) and leaves[3] == pytest.approx(25)
+    pairs = list(zip([0, 1, 3, 4, 2, 5], [1, 2, 4, 5, 3, 6]))
+    got = condense([1] * 7, [(*p, d) for p, d in zip(pairs, [0.05, 0.05, 0.04, 0.04, 0.29, 0.3])], 3, 0.3)
+    label = [c for c, _ in got]
+    assert len({*label[:3]}) == len({*label[3:6]}) == 1 and label[0] != label[3] and label[6] is None
+    assert got[0][1] == pytest.approx(20) and got[3][1] == pytest.approx(25)
     # hardly apart: one cluster
-    d = np.array([0.05, 0.05, 0.05, 0.05, 0.051, 0.3])
-    assert len({*condense(np.ones(7, int), a, b, d, 3, 0.3)[0][:6].tolist()}) == 1
+    got = condense([1] * 7, [(*p, d) for p, d in zip(pairs, [0.05, 0.05, 0.05, 0.05, 0.051, 0.3])], 3, 0.3)
+    assert len({c for c, _ in got[:6]}) == 1
     # copies are a cluster of their own
-    assert condense(np.array([5, 1]), np.array([0]), np.array([1]), np.array([0.2]), 3, 0.3)[0][0] >= 0
+    assert condense([5, 1], [(0, 1, 0.2)], 3, 0.3)[0][0] is not None
+
+
+def test_bands_give_the_same_hierarchy():
+    r = random.Random(3)
+    for least in (2, 3, 5):
+        n = 120
+        copies = [r.choice([1, 1, 1, 2, 6]) for _ in range(n)]
+        edges = [(r.randrange(k), k, r.choice([0.0, 0.01, 0.05, 0.1, 0.1, 0.2, 0.25])) for k in range(1, n)]
+        want = condense(copies, edges, least, 0.3)
+        for bands in (2, 7, 30):
+            got = condense(copies, edges, least, 0.3, bands)
+            assert [d for _, d in got] == [d for _, d in want]
+            names = {}
+            assert all(names.setdefault(a, b) == b for (a, _), (b, _) in zip(got, want)) and len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("band", [9, 60])
+def test_clusters_in_bands(spark, monkeypatch, band):
+    import eventide.llm.condense as O
+
+    v = {i: {f"g{i % 3}": 2.0, f"h{i % 12}": 1.0, f"w{i}": 0.1 + 0.01 * (i % 7)} for i in range(70)}
+    df = spark.createDataFrame(rows_of(v), "id int, term string, weight double")
+    held = vectors(df, "id", "term", "weight").cache()
+    want = sorted(map(tuple, clusters(held, 0.7).collect()), key=repr)
+    monkeypatch.setattr(O, "BAND", band)
+    assert sorted(map(tuple, clusters(held, 0.7).collect()), key=repr) == want and len({x[1] for x in want}) > 3
 
 
 def test_clusters_described(spark):
