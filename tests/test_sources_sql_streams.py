@@ -106,3 +106,23 @@ def test_file_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/c").count() == 2
     with pytest.raises(ValueError):
         save_files(spark.range(3), f"{tmp_path}/x", "orc")
+
+
+def test_sql_configs_and_term_arrays(spark, rows):
+    register(spark)
+    spark.createDataFrame([(1, "The runners were running", ["run", None]), (2, None, None), (3, "", [])], "id int, t string, w array<string>").createOrReplaceTempView("words")
+    got = rows(spark.sql("SELECT id, text_terms(t) AS a, text_terms(t, 'english') AS b, keyword_overlap(t, 'running', 'english') AS c, has_keyword(t, 'runs', 'english') AS d FROM words"))
+    assert got == [(1, ["the", "runners", "were", "running"], ["runner", "run"], 1, True), (2, None, None, None, None), (3, [], [], 0, False)]
+    got = rows(spark.sql("SELECT id, terms_overlap(w, 'run walk') AS a, terms_have_keyword(w, 'run') AS b, terms_have_keyword(w, ' ') AS c FROM words"))
+    assert got == [(1, 1, True, False), (2, None, None, False), (3, 0, False, False)]
+    assert rows(spark.sql("SELECT term_entropy(t) AS a, term_entropy(w) AS b, shared_terms(t, 1) AS c, shared_terms(w, 2) AS d FROM words")) == [(2.0, 0.0, 4, 0)]
+    assert "Python" not in spark.sql("SELECT has_keyword(t, 'run') FROM words")._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(PySparkException, match="config is"):
+        spark.sql("SELECT text_terms(t, 'german') FROM words").collect()
+
+
+def test_jdbc_writer_asks_spark(spark):
+    from eventide.sources import save_jdbc
+
+    with pytest.raises(Exception, match="(?i)driver"):
+        save_jdbc(spark.range(1), "jdbc:none://nowhere", "t")
