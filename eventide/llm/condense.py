@@ -49,8 +49,8 @@ class Part:
 class Condenser:
     """Takes edges in ascending order and collects rows ``(kind, root, id, size, cid, total, inner, within, loose, joined)``.
 
-    A home row tells the cluster (``cid``) of a node (``id``) and the density (``total``) at which it leaves it; a cluster row has in ``cid`` a cluster
-    and, after a space, the one around it, and in ``within`` whether it is chosen; a moved row tells that part ``id`` is in part ``size`` now.
+    A home row tells the cluster (``cid``) of a node (``id``) and the density (``total``) at which it leaves it; a cluster row has in ``cid`` a cluster,
+    the next one around it that is still open and the widest chosen one before that ("-" for none); a moved row tells that part ``id`` is in part ``size`` now.
     """
 
     def __init__(self, root: int, band: int, least: int):
@@ -58,14 +58,12 @@ class Condenser:
         self.parts: dict[int, Part] = {}
         self.above: dict[int, int] = {}
         self.rows: list[tuple] = []
+        self.ended: list[tuple[str, str | None, bool]] = []
         self.opened = 0
 
     def home(self, node: int, cid: str, density: float) -> None:
         self.rows.append((_HOME, self.root, node, 0, cid, density, 0.0, False, None, 0.0))
 
-    def cluster(self, cid: str, parent: str | None, chosen: bool) -> None:
-        self.rows.append((_CLUSTER, self.root, 0, 0, cid if parent is None else f"{cid} {parent}", 0.0, 0.0, chosen, None, 0.0))
-
     def begin(self, part: Part, members: list[int], density: float) -> None:
         """Opens the cluster of a part."""
         part.cid = f"{self.root}:{self.band}:{self.opened}"
@@ -101,8 +99,7 @@ class Condenser:
             x.size += y.size
             self.begin(x, [], at)
             x.inner, x.within = sum(worth for _, _, worth in ended), True
-            for cid, chosen, _ in ended:
-                self.cluster(cid, x.cid, chosen)
+            self.ended += [(cid, x.cid, chosen) for cid, chosen, _ in ended]
         elif x.cid:
             for k in y.loose:
                 self.home(k, x.cid, at)
@@ -124,9 +121,17 @@ class Condenser:
             if p.cid is None and p.size >= 2:
                 self.begin(p, p.loose, p.joined)
             if p.cid:
-                self.cluster(p.cid, None, p.closed(1 / max(furthest, FINEST))[0])
+                self.ended.append((p.cid, None, p.closed(1 / max(furthest, FINEST))[0]))
         if not last:
             self.rows += [(_MOVED, self.root, k, self.find(k), None, 0.0, 0.0, False, None, 0.0) for k in self.above if self.above[k] != k]
+        way: dict[str, tuple[str | None, str | None]] = {}
+        for cid, up, chosen in reversed(self.ended):  # those around come first
+            best = cid if chosen else None
+            if up in way:
+                up, widest = way[up]
+                best = widest or best
+            way[cid] = up, best
+            self.rows.append((_CLUSTER, self.root, 0, 0, f"{cid} {up or '-'} {best or '-'}", 0.0, 0.0, False, None, 0.0))
         return self.rows
 
 
@@ -136,18 +141,21 @@ def _condensing(band: int, least: int, furthest: float):
     def finish(table: pa.Table) -> pa.RecordBatch:
         root, final = table.column("root").to_numpy(), table.column("final").to_numpy()
         edge = table.column("b").is_valid().to_numpy()
+        part, line = np.flatnonzero(~edge), np.flatnonzero(edge)
+        states = list(zip(*(table.column(k).take(pa.array(part)).to_pylist() for k in _STATE_NAMES[1:])))
+        a, b, ta, tb, d = (table.column(k).take(pa.array(line)).to_numpy() for k in ("a", "b", "ta", "tb", "distance"))
+        order = np.lexsort((tb, ta, d, root[line]))
+        edges = list(zip(*(x[order].tolist() for x in (a, b, d))))
+        each, first = np.unique(root, return_index=True)
+        of_part, of_line = ([*np.searchsorted(root[own], each).tolist(), len(own)] for own in (part, line))
         rows: list[tuple] = []
-        begin = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
-        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(root)]):
-            c = Condenser(int(root[lo]), band, least)
-            own = table.slice(lo, hi - lo)
-            parts = own.filter(pa.array(~edge[lo:hi])).select(_STATE_NAMES[1:])
-            for v in zip(*(x.to_pylist() for x in parts.columns)):
+        for k, (r, last) in enumerate(zip(each.tolist(), final[first].tolist())):
+            c = Condenser(r, band, least)
+            for v in states[of_part[k] : of_part[k + 1]]:
                 c.add(Part(*v))
-            a, b, ta, tb, d = (own.filter(pa.array(edge[lo:hi])).column(k).to_numpy() for k in ("a", "b", "ta", "tb", "distance"))
-            for e in np.lexsort((tb, ta, d)).tolist():
-                c.edge(int(a[e]), int(b[e]), float(d[e]))
-            rows += c.end(bool(final[lo]), furthest)
+            for x, y, distance in edges[of_line[k] : of_line[k + 1]]:
+                c.edge(x, y, distance)
+            rows += c.end(last, furthest)
         types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 10, types)], names=["kind", *_STATE_NAMES])
 
@@ -185,7 +193,9 @@ def condensed(nodes: DataFrame, tree: DataFrame, least: int, furthest: float, ba
     many = runtime.cut(span)
     placed = placed.join(many, "root").select("root", (F.col("band") - F.col("first")).alias("step"), (F.col("last") - F.col("first")).alias("end"), "a", "b", "distance")
     empty = {"size": F.lit(1).cast("bigint"), "cid": F.lit(None).cast("string"), "total": F.lit(0.0), "inner": F.lit(0.0), "within": F.lit(False), "loose": F.lit(None).cast("array<bigint>"), "joined": F.lit(1 / FINEST)}
-    parts = nodes.join(many.select("root", (F.col("last") - F.col("first")).alias("end")), "root", "left").select("root", F.coalesce("end", F.lit(0)).alias("end"), "id", *(v.alias(k) for k, v in {**empty, "size": F.col("copies"), "loose": F.array("id")}.items()))
+    ends = many.select("root", (F.col("last") - F.col("first")).alias("end"))
+    parts = nodes.join(ends, "root", "left").select("root", F.coalesce("end", F.lit(0)).alias("end"), "id", *(v.alias(k) for k, v in {**empty, "size": F.col("copies"), "loose": F.array("id")}.items()), F.col("end").isNull().alias("alone"))
+    parts = parts.filter(~F.col("alone") | (F.col("size") > 1)).drop("alone")  # a vector alone is in no cluster
     where = None  # the part of each node of the groups that go on
     done = []
     for step in range(steps):
@@ -206,7 +216,6 @@ def condensed(nodes: DataFrame, tree: DataFrame, least: int, furthest: float, ba
         out = runtime.cut(rows.repartition(F.xxhash64("root")).sortWithinPartitions("root").mapInArrow(_condensing(step, least, furthest), _OUT))
         done.append(out)
         if step + 1 < steps:
-            ends = many.select("root", (F.col("last") - F.col("first")).alias("end"))
             made = out.filter(F.col("kind") == _PART).join(ends, "root").select("root", "end", *_STATE_NAMES[1:])
             parts = runtime.cut(waiting.select(made.columns).unionByName(made))
             moved = out.filter(F.col("kind") == _MOVED).select(F.col("id").alias("part"), F.col("size").alias("to"))
@@ -216,10 +225,10 @@ def condensed(nodes: DataFrame, tree: DataFrame, least: int, furthest: float, ba
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    # the widest chosen cluster around each one, by doubling the way to the top
+    # the widest chosen cluster around each one: tasks have told it up to what was open then, doubling goes the way to the top
     name = F.split("cid", " ")
-    way = rows.filter(F.col("kind") == _CLUSTER).select(name[0].alias("cid"), F.try_element_at(name, F.lit(2)).alias("up"), "within")
-    way = runtime.cut(way.select("cid", "up", F.when(F.col("within"), F.col("cid")).alias("best")))
+    known = lambda k: F.when(name[k] != "-", name[k])
+    way = runtime.cut(rows.filter(F.col("kind") == _CLUSTER).select(name[0].alias("cid"), known(1).alias("up"), known(2).alias("best")))
     while way.filter("up IS NOT NULL").limit(1).count():
         further = way.select(F.col("cid").alias("up"), F.col("up").alias("up2"), F.col("best").alias("best2"))
         way = runtime.cut(way.join(further, "up", "left").select("cid", F.col("up2").alias("up"), F.coalesce("best2", "best").alias("best")))

@@ -230,15 +230,15 @@ def condense(copies, edges, least, furthest, bands=1):
         moved = {r[2]: r[3] for r in got if r[0] == 2}
         at = [moved.get(x, x) for x in at]
         rows += [r for r in got if r[0] < 2]
-    up = {r[4].split()[0]: (r[4].split() + [None])[1] for r in rows if r[0] == 1}
-    chosen = {r[4].split()[0]: r[7] for r in rows if r[0] == 1}
+    way = {r[4].split()[0]: r[4].split()[1:] for r in rows if r[0] == 1}
     out = [(None, 0.0)] * len(copies)
     for r in rows:
         if r[0] == 0:
-            best, c = None, r[4]
-            while c is not None:
-                best, c = (c if chosen[c] else best), up[c]
-            out[r[2]] = (best, r[5])
+            best, c = "-", r[4]
+            while c != "-":
+                c, widest = way[c]
+                best = widest if widest != "-" else best
+            out[r[2]] = (None if best == "-" else best, r[5])
     return out
 
 
