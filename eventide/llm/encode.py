@@ -86,8 +86,9 @@ def frequent_words(documents: DataFrame, text_col: str) -> DataFrame:
     """``(word, n)``: the words of all texts that the lexicon lists."""
     texts = documents.select(F.col(text_col).cast("string").alias("text"))
     n = texts.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    least = n.agg(F.greatest(F.lit(2.0), F.sum("n") * F.lit(LISTED_SHARE))).scalar()  # of the same shuffle
-    return n.filter((F.col("n") >= least) & (F.octet_length("word") <= LISTED_BYTES))
+    n = runtime.cut(n)
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return n.filter((F.col("n") >= max(2, total * LISTED_SHARE)) & (F.octet_length("word") <= LISTED_BYTES))
 
 
 def encode(documents: DataFrame, id_col: str, text_col: str, *, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
