@@ -11,6 +11,7 @@ import math
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..operators.aggregates import entropy_udaf, shared_terms_udaf, terms_in
 from ..operators.eventtype import EventTypeModel
 from ..operators.grid import PERIODS
@@ -23,6 +24,10 @@ _SIMPLE = "filter(split(lower({t}.txt), '[^0-9a-z]+'), w -> w <> ''{more})"
 _TERMS = f"""CASE {{t}}.config WHEN 'simple' THEN {_SIMPLE.format(t="{t}", more="")}
         WHEN 'english' THEN stem_terms({_SIMPLE.format(t="{t}", more=" AND NOT array_contains(array(@STOP@), w)")})
         ELSE CAST(raise_error('config is simple or english') AS ARRAY<STRING>) END"""
+# Terms with their counts, as the runs of the sorted terms. Without an aggregate the function is a generator of its row; with one, a lateral call is a join on the text, which moves the text with each of its terms.
+_COUNTED = """transform(array(sort_array({terms})), s -> CASE WHEN s IS NOT NULL THEN
+        transform(array(filter(sequence(0, size(s)), i -> i = 0 OR i = size(s) OR get(s, i) <> get(s, i - 1))), at ->
+            transform(slice(at, 1, size(at) - 1), (i, k) -> named_struct('term', get(s, i), 'count', CAST(get(at, k + 1) - i AS BIGINT))))[0] END)[0]"""
 _BODIES = {
     "spatial_partition(x DOUBLE, y DOUBLE, cell_length DOUBLE, s_x DOUBLE DEFAULT 0, s_y DOUBLE DEFAULT 0) RETURNS STRUCT<x INT, y INT>": f"""
         CASE WHEN cell_length > 0 AND cell_length < double('infinity') THEN named_struct('x', {_INDEX.format(v="x", s="s_x")}, 'y', {_INDEX.format(v="y", s="s_y")})
@@ -46,7 +51,7 @@ _BODIES = {
     "terms_have_keyword(terms ARRAY<STRING>, keywords STRING, config STRING DEFAULT 'simple') RETURNS BOOLEAN": "CASE WHEN size(text_terms(keywords, config)) > 0 THEN arrays_overlap(array_compact(terms), text_terms(keywords, config)) ELSE false END",
     "keyword_overlap(txt STRING, keywords STRING, config STRING DEFAULT 'simple') RETURNS INT": "terms_overlap(text_terms(txt, config), keywords, config)",
     "has_keyword(txt STRING, keywords STRING, config STRING DEFAULT 'simple') RETURNS BOOLEAN": "terms_have_keyword(text_terms(txt, config), keywords, config)",
-    "process_text(txt STRING, config STRING DEFAULT 'simple') RETURNS TABLE(term STRING, count BIGINT)": f"SELECT t AS term, count(*) AS count FROM (SELECT explode({_TERMS.format(t='process_text')}) AS t) GROUP BY t",
+    "process_text(txt STRING, config STRING DEFAULT 'simple') RETURNS TABLE(term STRING, count BIGINT)": f"SELECT c.term, c.count FROM (SELECT explode({_COUNTED.format(terms=_TERMS.format(t='process_text'))}) AS c)",
 }
 
 
@@ -56,6 +61,7 @@ def register(spark: SparkSession) -> None:
     ``term_entropy(x)`` and ``shared_terms(x, minimum)`` of term arrays or texts. Functions of texts take the config "simple" or "english" last;
     with a constant "simple" no Python is in the plan. An aggregate of texts takes "simple" terms.
     """
+    runtime.prepare(spark)
     spark.udf.register("stem_terms", stemmed)
     words = ", ".join(f"'{w}'" for w in sorted(stop_words()))
     for head, body in _BODIES.items():

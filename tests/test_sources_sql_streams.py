@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -121,6 +124,35 @@ def test_sql_configs_and_term_arrays(spark, rows):
         spark.sql("SELECT text_terms(t, 'german') FROM words").collect()
 
 
+@pytest.mark.parametrize("config", ["simple", "english"])
+def test_process_text_is_a_generator_of_its_row(spark, rows, config):
+    register(spark)
+    texts = [(1, "fires Fire! fire in town"), (2, "fires Fire! fire in town"), (3, None), (4, ""), (5, "... the"), (6, "b a b a b")]
+    spark.createDataFrame(texts, "id int, txt string").createOrReplaceTempView("posts")
+    df = spark.sql(f"SELECT id, t.term, t.count FROM posts, LATERAL process_text(txt, '{config}') AS t")
+    assert "Join" not in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+    simple = [("fire", 2), ("fires", 1), ("in", 1), ("town", 1)]
+    want = [(i, *t) for i in (1, 2) for t in (simple if config == "simple" else [("fire", 3), ("town", 1)])]
+    want += [(5, "the", 1), (6, "a", 2), (6, "b", 3)] if config == "simple" else [(6, "b", 3)]
+    assert rows(df) == sorted(want, key=repr) and dict(df.dtypes)["count"] == "bigint"
+
+
+def test_workers_of_the_sql_functions_find_the_package(tmp_path):
+    """In a session whose workers don't have the package's folder in their path."""
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from eventide.functions import register
+register(spark)
+print(spark.sql("SELECT term FROM process_text('two fires', 'english')").collect())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "Row(term='fire')" in run.stdout, run.stderr[-2000:]
+
+
 def test_jdbc_writer_asks_spark(spark):
     from eventide.sources import save_jdbc
 
